@@ -2,5 +2,73 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE: dict[str, str] = {}
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from siltstone.operators import changes, skew
+from siltstone.session import table_path, work_dir
+from siltstone.sources.tables import table
+from siltstone.streaming.compactor import Compactor, remap_index
+
+
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    """Live keys of each store with the change that set them, through a published change table."""
+    feed = changes.from_log(table(spark, d, "log_entry")).unionByName(changes.from_runs(table(spark, d, "sst_write")))
+    target = changes.ChangeTable(spark, work_dir(spark, "changes"))
+    target.apply(feed)
+    return target.live().select("store_id", "key", "wal_gen", "seq")
+
+
+def _weighted(spark: SparkSession, d: str) -> DataFrame:
+    named = [table(spark, d, t).select(F.lit(t).alias("table_name"), "key", "value") for t in ("log_entry", "sst_write")]
+    return skew.compress(named[0].unionByName(named[1]), ("table_name", "key"), F.col("value"))
+
+
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    """Keys with at least 2 percent of a table's rows."""
+    return skew.heavy_keys(skew.summarise(_weighted(spark, d), ("table_name", "key")), 0.02).select("table_name", "key")
+
+
+def p3_per_key(spark: SparkSession, d: str) -> DataFrame:
+    """Per table and key: rows, distinct values, mode, and percentiles of the value's length."""
+    by = ("table_name", "key")
+    weighted = _weighted(spark, d).where(F.col("key").isNotNull())
+    points = skew.percentiles(weighted, by, F.octet_length("value"))
+    return skew.summarise(weighted, by).join(points, list(by), "left")
+
+
+def _compacted(spark: SparkSession, d: str) -> Compactor:
+    source = table_path(d, "sst_write")
+    c = Compactor(spark, source, work_dir(spark, "compacted"), spark.read.parquet(source).schema)
+    c.run()
+    return c
+
+
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    """Every record of the consolidated data."""
+    return _compacted(spark, d).records().select("store_id", "run_id", "key")
+
+
+def p4_index(spark: SparkSession, d: str) -> DataFrame:
+    """The sparse index over the consolidated files."""
+    return remap_index(table(spark, d, "index_entry"), _compacted(spark, d).locations())
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p3_found, p3_per_key, p4_found, p4_index)}
+
+ORACLE: dict[str, str] = {
+    "p1_found": """WITH c AS (
+        SELECT store_id, key, wal_gen, seq, CASE WHEN upper(trim(op)) IN ('PUT','0') THEN true WHEN upper(trim(op)) IN ('DELETE','DEL','1') THEN false END AS put FROM log_entry
+        UNION ALL SELECT store_id, key, wal_gen, seq, isTombstone IS NOT TRUE FROM sst_write),
+      r AS (SELECT *, row_number() OVER (PARTITION BY store_id, key ORDER BY wal_gen DESC, seq DESC, put) AS rn FROM c WHERE put IS NOT NULL AND key IS NOT NULL)
+      SELECT store_id, key, wal_gen, seq FROM r WHERE rn=1 AND put""",
+    "p3_found": """WITH t AS (SELECT 'log_entry' AS table_name, key FROM log_entry UNION ALL SELECT 'sst_write', key FROM sst_write),
+      n AS (SELECT table_name, key, count(*) AS n FROM t GROUP BY 1,2), s AS (SELECT table_name, count(*) AS total FROM t GROUP BY 1)
+      SELECT table_name, key FROM n JOIN s USING (table_name) WHERE key IS NOT NULL AND n >= 0.02*total""",
+    "p3_per_key": """WITH t AS (SELECT 'log_entry' AS table_name, key, value FROM log_entry UNION ALL SELECT 'sst_write', key, value FROM sst_write),
+      a AS (SELECT table_name, key, count(*) AS n, count(DISTINCT value) AS n_values, quantile_cont(strlen(value)::DOUBLE, 0.5) AS p50, quantile_cont(strlen(value)::DOUBLE, 0.9) AS p90 FROM t WHERE key IS NOT NULL GROUP BY 1,2),
+      v AS (SELECT table_name, key, value, count(*) AS c FROM t WHERE key IS NOT NULL AND value IS NOT NULL GROUP BY 1,2,3),
+      m AS (SELECT table_name, key, value AS mode, c AS mode_weight FROM (SELECT *, row_number() OVER (PARTITION BY table_name, key ORDER BY c DESC, value) AS rn FROM v) WHERE rn=1)
+      SELECT a.*, m.mode, m.mode_weight FROM a LEFT JOIN m USING (table_name, key)""",
+    "p4_found": "SELECT DISTINCT store_id, run_id, key FROM sst_write WHERE key IS NOT NULL AND store_id IS NOT NULL AND run_id IS NOT NULL",
+}
