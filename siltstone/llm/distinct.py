@@ -23,7 +23,8 @@ PARTS = ("day", "store_id", "level")
 def memberships(records: DataFrame) -> DataFrame:
     """(key, day, store_id, level) once each; combined before the shuffle, so hot keys are small."""
     at = F.when(F.col("timestamp") != 0, F.col("timestamp"))
-    day = F.date_format(F.timestamp_millis(at), "yyyy-MM-dd")
+    # UTC whatever the session's time zone
+    day = F.date_add(F.to_date(F.lit("1970-01-01")), F.floor(at / 86_400_000).cast("int")).cast("string")
     return records.select("key", day.alias("day"), "store_id", "level").where(F.col("key").isNotNull() & F.col("day").isNotNull()).distinct()
 
 

@@ -5,10 +5,25 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltstone.llm import distinct, tokenize
+from siltstone.llm import distinct, frequent, seen, tokenize
+from siltstone.session import work_dir
 from siltstone.sources.tables import table
 
 
+def _probed(spark: SparkSession, d: str) -> DataFrame:
+    return seen.probed(table(spark, d, "sst_write"), table(spark, d, "index_entry"), work_dir(spark, "seen"))
+
+
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    """Records whose key came before in its store."""
+    return seen.seen_records(_probed(spark, d))
+
+
+def p2_error_rate(spark: SparkSession, d: str) -> DataFrame:
+    """How often the filters answer wrongly, by number of filters asked."""
+    return seen.error_report(_probed(spark, d))
+
+
 def _patterns(spark: SparkSession, d: str) -> DataFrame:
     return distinct.patterns(distinct.memberships(table(spark, d, "sst_write")))
 
@@ -25,17 +40,31 @@ def p5_counts(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    """The 30 keys with most log entries."""
+    return frequent.most_frequent(table(spark, d, "log_entry")).select("key")
+
+
+def p6_counts(spark: SparkSession, d: str) -> DataFrame:
+    """The same keys with approximate and exact counts."""
+    return frequent.most_frequent(table(spark, d, "log_entry"))
+
+
 def p7_ids(spark: SparkSession, d: str) -> DataFrame:
     """Token ids of every document."""
     return tokenize.encode_corpus(table(spark, d, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p5_found, p5_counts, p7_ids)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_error_rate, p5_found, p5_counts, p6_found, p6_counts, p7_ids)}
 
 _SST = """r AS (SELECT DISTINCT key, strftime(make_timestamp("timestamp"*1000), '%Y-%m-%d') AS day, store_id, level FROM sst_write
   WHERE key IS NOT NULL AND "timestamp" IS NOT NULL AND "timestamp" <> 0)"""
 
 ORACLE: dict[str, str] = {
+    "p2_found": """WITH o AS (SELECT store_id, run_id, key FROM sst_write UNION ALL SELECT store_id, run_id, key FROM index_entry),
+      f AS (SELECT store_id, key, min(run_id) AS r0 FROM o WHERE key IS NOT NULL AND store_id IS NOT NULL AND run_id IS NOT NULL GROUP BY 1,2)
+      SELECT DISTINCT s.store_id, s.run_id, s.key FROM sst_write s JOIN f USING (store_id, key) WHERE s.run_id > f.r0""",
+    "p6_found": "SELECT key FROM log_entry WHERE key IS NOT NULL GROUP BY key ORDER BY count(*) DESC, key LIMIT 30",
     "p5_found": f"""WITH {_SST}, c AS (SELECT day, store_id, level, count(DISTINCT key) AS n FROM r GROUP BY 1,2,3
         UNION ALL SELECT day, store_id, -1, count(DISTINCT key) FROM r GROUP BY 1,2)
       SELECT a.day, a.store_id, a.level FROM c a JOIN c b ON a.store_id=b.store_id AND a.level=b.level AND CAST(a.day AS DATE)=CAST(b.day AS DATE)+1
