@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltstone.llm import distinct, frequent, seen, spam, tokenize
+from siltstone.llm import contamination, distinct, frequent, seen, spam, tokenize
 from siltstone.session import work_dir
 from siltstone.sources.tables import table
 
@@ -55,6 +55,20 @@ def p7_ids(spark: SparkSession, d: str) -> DataFrame:
     return tokenize.encode_corpus(table(spark, d, "documents"))
 
 
+def _leaks(spark: SparkSession, d: str) -> DataFrame:
+    return contamination.leaks(table(spark, d, "documents"), table(spark, d, "eval_item"), work_dir(spark, "leaks"))
+
+
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    """Documents and the items that leaked into them."""
+    return _leaks(spark, d).select("doc_id", "item_id")
+
+
+def p8_spans(spark: SparkSession, d: str) -> DataFrame:
+    """Stretches of each document to remove."""
+    return contamination.removal_spans(_leaks(spark, d))
+
+
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
     """Pages of which more than half is keywords, links or tags."""
     return spam.spam_pages(table(spark, d, "documents"))
@@ -65,7 +79,7 @@ def p9_scores(spark: SparkSession, d: str) -> DataFrame:
     return spam.score_pages(table(spark, d, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_error_rate, p5_found, p5_counts, p6_found, p6_counts, p7_ids, p9_found, p9_scores)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_error_rate, p5_found, p5_counts, p6_found, p6_counts, p7_ids, p8_found, p8_spans, p9_found, p9_scores)}
 
 _SST = """r AS (SELECT DISTINCT key, strftime(make_timestamp("timestamp"*1000), '%Y-%m-%d') AS day, store_id, level FROM sst_write
   WHERE key IS NOT NULL AND "timestamp" IS NOT NULL AND "timestamp" <> 0)"""
