@@ -38,6 +38,12 @@ def with_checksum(log: DataFrame) -> DataFrame:
     return d.select("seq", F.crc32(payload).alias("checksum"))
 
 
+def verify_checksum(log: DataFrame) -> DataFrame:
+    """seq and whether the stored ``checksum`` is right; null where none is stored."""
+    stored = log.select("seq", F.col("checksum").alias("stored"))
+    return with_checksum(log).join(stored, "seq").select("seq", (F.col("checksum") == F.col("stored")).alias("valid"))
+
+
 def tail(log: DataFrame, ops_per_run: int) -> DataFrame:
     """Entries after the last full run, which a truncation must keep."""
     cut = with_ordinal(log, "seq").withColumn("__run", F.floor(F.col("ordinal") / ops_per_run))

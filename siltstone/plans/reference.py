@@ -13,6 +13,7 @@ from siltstone.operators import cache, probe, runs, state, ttl, wal
 from siltstone.session import work_dir
 from siltstone.sources import files
 from siltstone.sources.tables import olog, oplog, requests
+from siltstone.streaming.oplog import ExpiringState, LatestState, log_stream
 
 NOW_MS = 1705276800000
 RUN_OPS = 1000
@@ -246,3 +247,24 @@ def lru_final(s, d):
 @query
 def lru_hits(s, d):
     return cache.hits(oplog(s, d), CACHE_KEYS)
+
+
+def _log_files(s, d):
+    """The log written as several files, as a stream source."""
+    path = work_dir(s, "log")
+    oplog(s, d).repartitionByRange(4, "seq").write.parquet(path)
+    return log_stream(s, path, files_per_batch=2)
+
+
+@query
+def stream_latest(s, d):
+    target = LatestState(s, work_dir(s, "latest"))
+    target.run(_log_files(s, d))
+    return target.live()
+
+
+@query
+def stream_ttl_live(s, d):
+    target = ExpiringState(s, work_dir(s, "expiring"))
+    target.run(_log_files(s, d))
+    return ttl.live_at(target.entries(), NOW_MS)

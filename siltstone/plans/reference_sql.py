@@ -91,3 +91,6 @@ ORACLE: dict[str, str] = {
       g AS (SELECT x.seq, count(y.seq) AS d FROM a x LEFT JOIN a y ON y.seq > x.ps AND y.seq < x.seq AND (y.ns IS NULL OR y.ns > x.seq) WHERE x.ps IS NOT NULL GROUP BY 1)
       SELECT (SELECT count(*) FROM a) AS accesses, (SELECT count(*) FROM g WHERE d < 50) AS hits""",
 }
+
+ORACLE["stream_latest"] = ORACLE["kv_latest"]
+ORACLE["stream_ttl_live"] = ORACLE["ttl_live"]
