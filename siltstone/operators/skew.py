@@ -45,7 +45,9 @@ def percentiles(weighted: DataFrame, by: tuple[str, ...], measure: Column, point
     return w.groupBy(*by).agg(*(F.percentile("number", F.lit(p), F.col("w")).alias(f"p{round(p * 100)}") for p in points))
 
 
-def heavy_keys(summary: DataFrame, share: float, by: str = "table_name") -> DataFrame:
-    """Keys that hold at least ``share`` of all rows of their table, null keys counted in the total."""
-    totals = summary.groupBy(by).agg(F.sum("n").alias("total"))  # one row per table
+def heavy_keys(summary: DataFrame, totals: DataFrame, share: float, by: str = "table_name") -> DataFrame:
+    """Keys that hold at least ``share`` of all rows of their table.
+
+    ``totals`` has one row per table with its number of rows, ``total``, null keys included.
+    """
     return summary.join(F.broadcast(totals), by).where(F.col("key").isNotNull() & (F.col("n") >= F.col("total") * F.lit(share)))

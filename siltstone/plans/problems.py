@@ -19,14 +19,19 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
     return target.live().select("store_id", "key", "wal_gen", "seq")
 
 
-def _weighted(spark: SparkSession, d: str) -> DataFrame:
+def _keyed(spark: SparkSession, d: str) -> DataFrame:
     named = [table(spark, d, t).select(F.lit(t).alias("table_name"), "key", "value") for t in ("log_entry", "sst_write")]
-    return skew.compress(named[0].unionByName(named[1]), ("table_name", "key"), F.col("value"))
+    return named[0].unionByName(named[1])
+
+
+def _weighted(spark: SparkSession, d: str) -> DataFrame:
+    return skew.compress(_keyed(spark, d), ("table_name", "key"), F.col("value"))
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     """Keys with at least 2 percent of a table's rows."""
-    return skew.heavy_keys(skew.summarise(_weighted(spark, d), ("table_name", "key")), 0.02).select("table_name", "key")
+    totals = _keyed(spark, d).groupBy("table_name").agg(F.count("*").alias("total"))  # reads no column
+    return skew.heavy_keys(skew.summarise(_weighted(spark, d), ("table_name", "key")), totals, 0.02).select("table_name", "key")
 
 
 def p3_per_key(spark: SparkSession, d: str) -> DataFrame:
