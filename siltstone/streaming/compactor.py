@@ -54,8 +54,8 @@ class Compactor:
                 held = self.spark.read.schema(self.schema).parquet(*(self._folder(b) for b in earlier)).select(*RECORD)
                 fresh = fresh.join(held, list(RECORD), "left_anti")
             n = max(1, -(-rows // self.file_rows))
-            sized = fresh.repartitionByRange(n, *RECORD) if n > 1 else fresh.coalesce(1)
-            sized.sortWithinPartitions(*RECORD).write.mode("overwrite").parquet(self._folder(batch))
+            # an exchange even for one file, so that the step before it keeps its tasks
+            fresh.repartitionByRange(n, *RECORD).sortWithinPartitions(*RECORD).write.mode("overwrite").parquet(self._folder(batch))
             write_text(self.spark, f"{self.target}/commits/{batch:010d}", str(rows))
 
     def run(self) -> None:
