@@ -28,7 +28,7 @@ def _bytes(key: Column) -> Column:
     n = F.length(h) / 2
     unsigned = F.transform(F.sequence(F.lit(1), n.cast("int")), lambda i: F.conv(F.substring(h, i * 2 - 1, F.lit(2)), 16, 10).cast("long"))
     some = F.transform(unsigned, lambda b: F.when(b >= 128, b + (_MASK - 255)).otherwise(b))
-    return F.when(F.length(h) > 0, some).otherwise(F.array().cast("array<bigint>"))
+    return F.when(F.length(h) > 0, some).when(F.length(h) == 0, F.array().cast("array<bigint>"))
 
 
 def sha_hash(key: Column) -> Column:
