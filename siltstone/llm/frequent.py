@@ -105,13 +105,14 @@ class HeavyLight:
             self.light += light
 
 
-def _sketches(keys: DataFrame) -> DataFrame:
+def _sketches(keys: DataFrame, shape: tuple[int, int, int]) -> DataFrame:
     """Blocks of merged sketches: (block, value, votes, partial, against, light) as packed arrays."""
     hashed = keys.select(F.xxhash64("key").alias("h"))
     if hashed.rdd.getNumPartitions() > MAX_SKETCHES:
         hashed = hashed.coalesce(MAX_SKETCHES)
     schema = "block int, value binary, votes binary, partial binary, against binary, light binary"
-    per, cells = BUCKETS // BLOCKS, CELLS // BLOCKS
+    _, slots, all_cells = shape
+    per, cells = shape[0] // BLOCKS, all_cells // BLOCKS
 
     def pack(s: HeavyLight, blocks: range) -> pa.RecordBatch:
         parts = [
@@ -123,7 +124,7 @@ def _sketches(keys: DataFrame) -> DataFrame:
         return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), *(pa.array(c, pa.binary()) for c in cols[1:])], names=["block", "value", "votes", "partial", "against", "light"])
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        s, any_ = HeavyLight(), False
+        s, any_ = HeavyLight(*shape), False
         for b in batches:
             if b.num_rows:
                 any_ = True
@@ -136,10 +137,10 @@ def _sketches(keys: DataFrame) -> DataFrame:
         done: dict[int, HeavyLight] = {}
         for b in batches:
             for block, value, votes, partial, against, light in zip(*(c.to_pylist() for c in b.columns)):
-                s = done.setdefault(block, HeavyLight())
-                shape = (per, SLOTS)
+                s = done.get(block) or done.setdefault(block, HeavyLight(*shape))
+                part = (per, slots)
                 s.merge(
-                    np.frombuffer(value, np.int64).reshape(shape), np.frombuffer(votes, np.int64).reshape(shape), np.frombuffer(partial, bool).reshape(shape),
+                    np.frombuffer(value, np.int64).reshape(part), np.frombuffer(votes, np.int64).reshape(part), np.frombuffer(partial, bool).reshape(part),
                     np.frombuffer(against, np.int64), np.zeros(0, np.int64), first=block * per,
                 )
                 s.light[block * cells : (block + 1) * cells] += np.frombuffer(light, np.int64)
@@ -153,29 +154,30 @@ def _sketches(keys: DataFrame) -> DataFrame:
     return hashed.mapInArrow(build, schema).repartition(BLOCKS, "block").mapInArrow(join, schema)
 
 
-def sketch(keys: DataFrame) -> HeavyLight:
-    """The sketch of all non-null ``key`` values. At most BLOCKS rows of fixed size reach the driver."""
-    whole = HeavyLight()
-    per = BUCKETS // BLOCKS
-    for r in _sketches(keys.select("key").where(F.col("key").isNotNull())).collect():
+def sketch(keys: DataFrame, shape: tuple[int, int, int] = (BUCKETS, SLOTS, CELLS)) -> HeavyLight:
+    """The sketch of all non-null ``key`` values; ``shape`` is (buckets, slots, cells), the first and
+    last powers of two from BLOCKS on. At most BLOCKS rows of fixed size reach the driver."""
+    whole = HeavyLight(*shape)
+    per, slots = shape[0] // BLOCKS, shape[1]
+    for r in _sketches(keys.select("key").where(F.col("key").isNotNull()), shape).collect():
         lo, hi = r.block * per, (r.block + 1) * per
-        whole.value[lo:hi] = np.frombuffer(r.value, np.int64).reshape(per, SLOTS)
-        whole.votes[lo:hi] = np.frombuffer(r.votes, np.int64).reshape(per, SLOTS)
-        whole.partial[lo:hi] = np.frombuffer(r.partial, bool).reshape(per, SLOTS)
+        whole.value[lo:hi] = np.frombuffer(r.value, np.int64).reshape(per, slots)
+        whole.votes[lo:hi] = np.frombuffer(r.votes, np.int64).reshape(per, slots)
+        whole.partial[lo:hi] = np.frombuffer(r.partial, bool).reshape(per, slots)
         whole.against[lo:hi] = np.frombuffer(r.against, np.int64)
         whole.light += np.frombuffer(r.light, np.int64)
     return whole
 
 
-def cell_of(key: Column) -> Column:
+def cell_of(key: Column, cells: int = CELLS) -> Column:
     """The light cell of a value, as the sketch computes it."""
-    return F.shiftrightunsigned(F.xxhash64(key), 32).bitwiseAND(F.lit(CELLS - 1))
+    return F.shiftrightunsigned(F.xxhash64(key), 32).bitwiseAND(F.lit(cells - 1))
 
 
-def most_frequent(df: DataFrame, k: int = 30) -> DataFrame:
+def most_frequent(df: DataFrame, k: int = 30, shape: tuple[int, int, int] = (BUCKETS, SLOTS, CELLS)) -> DataFrame:
     """The ``k`` most frequent keys: key, approx_n (the sketch's count), n (exact)."""
     spark = df.sparkSession
-    s = sketch(df)
+    s = sketch(df, shape)
     held = s.votes > 0
     h, low, part = s.value[held], s.votes[held], s.partial[held]
     cell = s.cell(h)
@@ -186,10 +188,10 @@ def most_frequent(df: DataFrame, k: int = 30) -> DataFrame:
     cells = spark.createDataFrame([(int(c),) for c in ask], "cell long")  # at most CELLS rows
     estimates = spark.createDataFrame([(int(a), int(b)) for a, b in zip(h, estimate)], "h long, approx_n long")  # at most BUCKETS * SLOTS rows
     rows = df.select("key").where(F.col("key").isNotNull())
-    exact = rows.withColumn("cell", cell_of(F.col("key"))).join(F.broadcast(cells), "cell", "left_semi").groupBy("key").agg(F.count("*").alias("n"))
+    exact = rows.withColumn("cell", cell_of(F.col("key"), shape[2])).join(F.broadcast(cells), "cell", "left_semi").groupBy("key").agg(F.count("*").alias("n"))
     top = exact.orderBy(F.desc("n"), "key").limit(k)
     named = top.withColumn("h", F.xxhash64("key")).join(F.broadcast(estimates), "h", "left")
     # a value outside the heavy part has its light cell for an estimate
     light = spark.createDataFrame([(int(c), int(s.light[c])) for c in ask], "cell long, cell_n long")
-    both = named.withColumn("cell", cell_of(F.col("key"))).join(F.broadcast(light), "cell", "left")
+    both = named.withColumn("cell", cell_of(F.col("key"), shape[2])).join(F.broadcast(light), "cell", "left")
     return both.select("key", F.coalesce("approx_n", "cell_n").alias("approx_n"), "n")
