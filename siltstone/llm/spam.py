@@ -42,9 +42,9 @@ FUNCTION_WORDS = frozenset(
 )
 
 #: A word comes back if the page's lists have it at least so often. RETURNING is the share of
-#: returning characters that stuffs all of a page's lists, and RETURNING_LOWER what stuffs a
-#: shape without names (at most its first word has a capital). FEW_SHAPES may dominate a page.
-RETURNS, RETURNING, RETURNING_LOWER, FEW_SHAPES = 3, 0.48, 0.3, 8
+#: returning characters that makes a page's lists stuffing: votes, roll calls, order papers and
+#: tables stay below 0.6, as their names are many. FEW_SHAPES may dominate a page.
+RETURNS, RETURNING, FEW_SHAPES = 2, 0.63, 8
 
 _TOKEN = re.compile(
     r"(?P<link>(?:https?://|www\.)[^\s)\"<>\]]+)|(?P<tag><[^<>\n]*>|(?<!\w)[#@+][^\W\d_][\w-]*)|(?P<word>[^\W\d_]+(?:[-'’][^\W\d_]+)*)|(?P<number>\d[\d.,]*%?)"
@@ -158,23 +158,13 @@ def stuffing(text: str | None) -> tuple[float, int]:
     if not total:
         return 0.0, 0
     count = Counter(w for k, _, ws in merged if k[0] == "list" for w in ws)
-    by_shape: dict[tuple, list[int]] = {}
-    for kind, n, ws in merged:
-        if kind[0] == "sentence":
-            continue
-        g = by_shape.setdefault(kind, [0, 0, 0])
-        g[0] += n
-        g[1] += sum(map(len, ws))
-        g[2] += sum(len(w) for w in ws if count[w] >= RETURNS)
-    lists = [g for kind, g in by_shape.items() if kind[0] == "list"]
-    page = sum(g[2] for g in lists) >= RETURNING * max(1, sum(g[1] for g in lists))
-
-    def is_stuffed(kind: tuple, g: list[int]) -> bool:
-        if kind[0] == "link":
-            return True
-        return page or (kind[2] in ("none", "first") and g[1] > 0 and g[2] >= RETURNING_LOWER * g[1])
-
-    stuffed = sorted((g[0] for kind, g in by_shape.items() if is_stuffed(kind, g)), reverse=True)
+    by_shape: dict[tuple, int] = {}
+    for kind, n, _ in merged:
+        by_shape[kind] = by_shape.get(kind, 0) + n
+    length = sum(len(w) * n for w, n in count.items())
+    returning = sum(len(w) * n for w, n in count.items() if n >= RETURNS)
+    kinds = {"link", "list"} if length and returning >= RETURNING * length else {"link"}
+    stuffed = sorted((n for kind, n in by_shape.items() if kind[0] in kinds), reverse=True)
     return sum(stuffed[:FEW_SHAPES]) / total, len(stuffed)
 
 
