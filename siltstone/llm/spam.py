@@ -84,10 +84,12 @@ def _capitals(words: list[str]) -> str:
 
 
 def shapes(text: str) -> list[tuple[tuple, int, list[str]]]:
-    """(shape, characters, words) of each unit of a text, in order. A shape's first part is its kind: sentence, link or list."""
+    """(shape, characters, words) of each unit of a text, in order. A shape's first part is its kind: sentence, link, record or list."""
     out: list[tuple[tuple, int, list[str]]] = []
     unit = _Unit()
     words: list[tuple[str, int, int]] = []
+    # entries of a numbered list are records, as in an order paper
+    numbered, first = False, True
 
     def close() -> None:
         nonlocal unit, words
@@ -98,22 +100,25 @@ def shapes(text: str) -> list[tuple[tuple, int, list[str]]]:
         if told:
             # stuffing may stand before the sentence in the same unit: then the sentence begins
             # with capitals right before its first function word, at most three words earlier
-            first = told[0]
-            i = first
-            while i > 0 and first - i < 3 and words[i - 1][0][:1].isupper():
+            lead = told[0]
+            i = lead
+            while i > 0 and lead - i < 3 and words[i - 1][0][:1].isupper():
                 i -= 1
-            if first <= 5 and words[0][0][:1].isupper():
+            if lead <= 5 and words[0][0][:1].isupper():
                 i = 0
             cut = unit.start if i == 0 else words[i][1]
             out.append((("sentence",), unit.end - cut, []))
             words = words[:i]
         if cut > unit.start:
             names = [w[0] for w in words]
-            out.append((("list", _class(len(names)), _capitals(names), "".join(sorted(unit.seps)), unit.numbers > 0), cut - unit.start, [n.lower() for n in names]))
+            out.append((("record" if numbered else "list", _class(len(names)), _capitals(names), "".join(sorted(unit.seps)), unit.numbers > 0), cut - unit.start, [n.lower() for n in names]))
         unit, words = _Unit(), []
 
     for m in _TOKEN.finditer(text):
         kind = m.lastgroup
+        if first:
+            numbered = kind == "number" and (m.group()[-1] == "." or text[m.end() : m.end() + 1] == ")")
+        first = kind == "line"
         if kind == "word":
             unit.take(m)
             words.append((m.group(), m.start(), m.end()))
@@ -163,7 +168,9 @@ def stuffing(text: str | None) -> tuple[float, int]:
         by_shape[kind] = by_shape.get(kind, 0) + n
     length = sum(len(w) * n for w, n in count.items())
     returning = sum(len(w) * n for w, n in count.items() if n >= RETURNS)
-    kinds = {"link", "list"} if length and returning >= RETURNING * length else {"link"}
+    # words that run on without blanks are garbled, not a list
+    written = len(text.split()) * 4 >= sum(count.values())
+    kinds = {"link", "list"} if length and written and returning >= RETURNING * length else {"link"}
     stuffed = sorted((n for kind, n in by_shape.items() if kind[0] in kinds), reverse=True)
     return sum(stuffed[:FEW_SHAPES]) / total, len(stuffed)
 

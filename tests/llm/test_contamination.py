@@ -1,0 +1,118 @@
+import random
+
+import pytest
+
+from siltstone.llm import contamination as c
+
+WORDS = [f"{a}{b}{d}" for a in ("ba", "ko", "ri", "mu", "te") for b in ("la", "so", "ni", "pe", "du", "gi") for d in ("n", "r", "st", "x", "lo", "va")]
+
+
+def prose(r, n):
+    return [r.choice(WORDS) for _ in range(n)]
+
+
+@pytest.fixture(scope="module")
+def corpus():
+    """Documents, items and the true pairs, with every disguise the operator must see through."""
+    r = random.Random(11)
+    formula = "The sitting is now open and the members are seated.".split()
+    items = {i: prose(r, 70) for i in range(1, 13)}
+    items[12] = formula + prose(r, 60)
+    docs, true = {}, set()
+
+    def add(words, *found):
+        docs[len(docs) + 1] = words if isinstance(words, str) else " ".join(words)
+        true.update((len(docs), i) for i in found)
+
+    for _ in range(30):
+        add([*(formula if r.random() < 0.7 else []), *prose(r, r.randint(30, 200))])
+    part = items[1][20:45]
+    add([*prose(r, 40), *part, *prose(r, 40)], 1)
+    add(" ".join(prose(r, 20)) + " " + " ".join(part).upper().replace(" ", ", ") + " " + " ".join(prose(r, 20)), 1)
+    add([*prose(r, 10), *items[2][:10], "(Applause", "from", "the", "left.)", *items[2][10:20], "[Interruption.]", *items[2][20:40], *prose(r, 10)], 2)
+    edited = [w if k % 9 else r.choice(WORDS) for k, w in enumerate(items[3])]
+    add([*prose(r, 10), *edited, *prose(r, 10)], 3)
+    add([*prose(r, 10), *(w for k, w in enumerate(items[4]) if k % 10), *prose(r, 10)], 4)
+    longer = []
+    for k, w in enumerate(items[5]):
+        longer += [w] if k % 8 else [w, r.choice(WORDS)]
+    add(longer, 5)
+    add(" ".join(w.replace("a", "á").replace("o", "<em>o</em>") if k % 2 else w for k, w in enumerate(items[6])).replace("<em>", "").replace("</em>", ""), 6)
+    add(" ".join(items[7][:35]).replace("kol", "ko-\nl").replace(" ", "\n", 4) + " ​" + "\xa0".join(items[7][35:]), 7)
+    add(" ".join(items[8]), 8)
+    add(" ".join(items[8]), 8)
+    add(" ".join([*items[8][:30], *prose(r, 30), *items[9][30:]]), 8, 9)
+    # no cases: short quotations, a formula and a few words, shuffled words
+    add([*prose(r, 30), *items[10][:14], *prose(r, 30)])
+    add([*formula, *items[12][10:22], *prose(r, 30)])
+    add(r.sample(items[11], len(items[11])))
+    return docs, {i: " ".join(w) for i, w in items.items()}, true
+
+
+def test_found_and_not_found(spark, tmp_path, corpus):
+    docs, items, true = corpus
+    d = spark.createDataFrame([*docs.items(), (900, None), (901, ""), (902, "  \n")], "doc_id long, text string").repartition(5)
+    i = spark.createDataFrame([*items.items(), (50, None), (51, "too short"), (52, items[8])], "item_id long, text string")
+    from pyspark.sql import functions as F
+
+    d, i = d.withColumn("item_id", F.lit(1)), i.withColumn("doc_id", F.lit(1))
+    found = c.leaks(d, i, f"file://{tmp_path}/a").collect()
+    want = true | {(a, 52) for a, b in true if b == 8}
+    assert {(r.doc_id, r.item_id) for r in found} == want
+    for r in found:
+        assert r.item_to - r.item_from >= c.MIN_WORDS
+    whole = next(r for r in found if r.item_id == 5)
+    words = c.words(docs[whole.doc_id])
+    assert words[whole.doc_from : whole.doc_from + 3] == c.words(items[5])[whole.item_from : whole.item_from + 3]
+
+
+def test_shards_and_blocks_change_nothing(spark, tmp_path, corpus):
+    docs, items, true = corpus
+    d = spark.createDataFrame([*docs.items()], "doc_id long, text string").coalesce(1)
+    i = spark.createDataFrame([*items.items()], "item_id long, text string")
+    blocks = list(c._item_blocks(i, "item_id", "text"))
+    assert len(blocks) == 1 and len(blocks[0].ids) == 12
+    size = c.BLOCK_WORDS
+    try:
+        c.BLOCK_WORDS = 200
+        assert len(list(c._item_blocks(i, "item_id", "text"))) > 3
+        got = {(r.doc_id, r.item_id) for r in c.leaks(d, i, f"file://{tmp_path}/b").collect()}
+    finally:
+        c.BLOCK_WORDS = size
+    assert got == true
+
+
+def test_a_third_of_the_corpus_may_hold_a_passage(spark, tmp_path):
+    r = random.Random(5)
+    item = prose(r, 60)
+    docs = [(k, " ".join([*prose(r, 30), *(item[10:50] if k % 3 == 0 else []), *prose(r, 30)])) for k in range(300)]
+    d = spark.createDataFrame(docs, "doc_id long, text string")
+    i = spark.createDataFrame([(1, " ".join(item))], "item_id long, text string")
+    assert {x.doc_id for x in c.leaks(d, i, f"file://{tmp_path}/a").collect()} == {k for k in range(300) if k % 3 == 0}
+
+
+def test_empty_sides(spark, tmp_path):
+    d = spark.createDataFrame([], "doc_id long, text string")
+    i = spark.createDataFrame([(1, " ".join(WORDS[:40]))], "item_id long, text string")
+    assert c.leaks(d, i, f"file://{tmp_path}/a").count() == 0
+    assert c.leaks(d, i.limit(0), f"file://{tmp_path}/b").count() == 0
+
+
+def test_removal_spans_are_merged(spark):
+    df = spark.createDataFrame([(1, 0, 10), (1, 5, 20), (1, 20, 30), (1, 40, 50), (2, 3, 9)], "doc_id long, doc_from int, doc_to int")
+    assert sorted(map(tuple, c.removal_spans(df).collect())) == [(1, 0, 30), (1, 40, 50), (2, 3, 9)]
+
+
+@pytest.mark.parametrize(
+    "text, want",
+    [
+        (None, []),
+        ("", []),
+        ("Ça, (Applaudissements.) 1.234 <b>été</b>!", ["ca", "1234", "ete"]),
+        ("clÃ\xadnica trans-\nlators Whe​n", ["clinica", "translators", "when"]),
+        ("a – Interjections – b &amp; c", ["a", "b", "c"]),
+        ("STRASSE straße", ["strasse", "strasse"]),
+    ],
+)
+def test_words(text, want):
+    assert c.words(text) == want
