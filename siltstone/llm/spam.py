@@ -47,7 +47,7 @@ FUNCTION_WORDS = frozenset(
 RETURNS, RETURNING, FEW_SHAPES = 2, 0.63, 8
 
 _TOKEN = re.compile(
-    r"(?P<link>(?:https?://|www\.)[^\s)\"<>\]]+)|(?P<tag><[^<>\n]*>|(?<!\w)[#@+][^\W\d_][\w-]*)|(?P<word>[^\W\d_]+(?:[-'’][^\W\d_]+)*)|(?P<number>\d[\d.,]*%?)"
+    r"(?P<link>(?:https?://|www\.)[^\s)\"<>\]]+)|(?P<word>[^\W\d_]+(?:[-'’][^\W\d_]+)*)|(?P<tag><[^<>\n]*>|(?<!\w)[#@+][^\W\d_][\w-]*)|(?P<number>\d[\d.,]*%?)"
     r"|(?P<line>\n)|(?P<end>[.!?]+(?=\s|$|[\"”»)]))|(?P<separator>[,;:|\t()\[\]*#/])"
 )
 _WORDS = (0, 1, 3, 6, 12, 40)
@@ -57,8 +57,9 @@ def _function_word(word: str) -> bool:
     w = word.lower()
     if w in FUNCTION_WORDS:
         return True
-    head = re.split("['’]", w, maxsplit=1)
-    return len(head) > 1 and head[0] in FUNCTION_WORDS
+    if "'" in w or "’" in w:
+        return re.split("['’]", w, maxsplit=1)[0] in FUNCTION_WORDS
+    return False
 
 
 class _Unit:
@@ -116,13 +117,18 @@ def shapes(text: str) -> list[tuple[tuple, int, list[str]]]:
 
     for m in _TOKEN.finditer(text):
         kind = m.lastgroup
+        if kind == "word":
+            if unit.start < 0:
+                unit.start = m.start()
+            unit.end = m.end()
+            words.append((m.group(), m.start(), unit.end))
+            if first:
+                numbered = first = False
+            continue
         if first:
             numbered = kind == "number" and (m.group()[-1] == "." or text[m.end() : m.end() + 1] == ")")
         first = kind == "line"
-        if kind == "word":
-            unit.take(m)
-            words.append((m.group(), m.start(), m.end()))
-        elif kind == "number":
+        if kind == "number":
             unit.take(m)
             unit.numbers += 1
         elif kind == "separator":
