@@ -18,17 +18,19 @@ _MASK = 4294967295
 
 
 def _signed(u: Column) -> Column:
-    """A 32-bit pattern held in a long, read as a signed int."""
-    return F.when(u >= 2147483648, u - 4294967296).otherwise(u)
+    """A 32-bit pattern held in a long, read as a signed int; the operand is evaluated once."""
+    return F.shiftright(F.shiftleft(u, 32), 32)
 
 
 def _bytes(key: Column) -> Column:
     """The key's UTF-8 bytes as longs, sign-extended to 32 bits as signed bytes are."""
-    h = F.hex(F.encode(key, "UTF-8"))
-    n = F.length(h) / 2
-    unsigned = F.transform(F.sequence(F.lit(1), n.cast("int")), lambda i: F.conv(F.substring(h, i * 2 - 1, F.lit(2)), 16, 10).cast("long"))
-    some = F.transform(unsigned, lambda b: F.when(b >= 128, b + (_MASK - 255)).otherwise(b))
-    return F.when(F.length(h) > 0, some).when(F.length(h) == 0, F.array().cast("array<bigint>"))
+    # one character per byte
+    chars = F.decode(F.encode(key, "UTF-8"), "ISO-8859-1")
+
+    def extended(c: Column) -> Column:
+        return F.shiftright(F.shiftleft(F.ascii(c).cast("long"), 56), 56).bitwiseAND(F.lit(_MASK))
+
+    return F.when(F.length(chars) > 0, F.transform(F.split(chars, ""), extended)).when(F.length(chars) == 0, F.array().cast("array<bigint>"))
 
 
 def sha_hash(key: Column) -> Column:
@@ -44,14 +46,11 @@ def fnv_hash(key: Column) -> Column:
 def mix_hash(key: Column) -> Column:
     """Multiply-and-shift hash over signed bytes, 32 bits, signed. Null for a null key.
 
-    The product is taken in two halves so that it stays within 64 bits.
+    A 32-bit value times the multiplier stays below 2**63.
     """
 
     def step(h: Column, b: Column) -> Column:
-        x = h.bitwiseXOR(b).bitwiseAND(F.lit(_MASK))
-        low = x.bitwiseAND(F.lit(65535)) * F.lit(MIX_MULTIPLIER)
-        high = F.shiftleft((F.shiftright(x, 16) * F.lit(MIX_MULTIPLIER)).bitwiseAND(F.lit(65535)), 16)
-        t = (low + high).bitwiseAND(F.lit(_MASK))
+        t = (h.bitwiseXOR(b).bitwiseAND(F.lit(_MASK)) * F.lit(MIX_MULTIPLIER)).bitwiseAND(F.lit(_MASK))
         return t.bitwiseXOR(F.shiftright(t, 15))
 
     return _signed(F.aggregate(_bytes(key), F.lit(MIX_SEED).cast("long"), step))
