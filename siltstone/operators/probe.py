@@ -17,15 +17,27 @@ def filter_bits(runs: DataFrame, bits: int = FILTER_BITS) -> DataFrame:
     return runs.where(F.col("key").isNotNull()).select("run_id", F.explode(bit_positions(F.col("key"), bits)).alias("bit")).distinct()
 
 
+def filter_words(bits_set: DataFrame) -> DataFrame:
+    """Each run's filter as one row: run_id and a map from word number to 64 bits. Its size is fixed by the number of bits."""
+    word = F.floor(F.col("bit") / 64).cast("int")
+    masks = bits_set.groupBy("run_id", word.alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(bit % 64 as int))")).alias("mask"))
+    return masks.groupBy("run_id").agg(F.map_from_entries(F.collect_list(F.struct("word", "mask"))).alias("words"))
+
+
 def probe_filters(probes: DataFrame, bits_set: DataFrame, bits: int = FILTER_BITS) -> DataFrame:
     """For probes (run_id, key): whether the run may hold the key (all three bits are set).
 
-    An equi-join on (run_id, bit). A null key is never there; a run without bits holds nothing.
+    One join on run_id against one row per run. A null key is never there; a run without bits holds nothing.
     """
     asked = probes.select("run_id", "key").distinct()
-    positions = asked.select("run_id", "key", F.explode(F.array_distinct(bit_positions(F.col("key"), bits))).alias("bit"))
-    found = positions.join(bits_set.withColumn("is_set", F.lit(True)), ["run_id", "bit"], "left")
-    return found.groupBy("run_id", "key").agg(F.coalesce(F.bool_and(F.coalesce(F.col("is_set"), F.lit(False))), F.lit(False)).alias("may_contain"))
+
+    def is_set(p):
+        word = F.coalesce(F.element_at(F.col("words"), F.floor(p / 64).cast("int")), F.lit(0).cast("long"))
+        return F.bit_get(word, (p % 64).cast("int")) == 1
+
+    may = F.forall(bit_positions(F.col("key"), bits), is_set)
+    joined = asked.join(filter_words(bits_set), "run_id", "left")
+    return joined.select("run_id", "key", F.coalesce(F.col("words").isNotNull() & F.col("key").isNotNull() & may, F.lit(False)).alias("may_contain"))
 
 
 def record_bytes(key: str = "key", value: str = "value"):
@@ -72,12 +84,16 @@ def index_floor(probes: DataFrame, index: DataFrame) -> DataFrame:
 
 
 def point_reads(probes: DataFrame, runs: DataFrame, bits_set: DataFrame, index: DataFrame) -> DataFrame:
-    """Reads of single runs: filter, index floor, value. Only probes that pass the filter are looked up.
+    """Reads of single runs: filter, index floor, value. Only probes that pass the filter find a row.
 
-    Gives run_id, key, may_contain, offset (where the scan starts), value (null if absent).
+    Gives run_id, key, may_contain, offset (where the scan starts) and value (null if absent).
     """
     asked = probe_filters(probes, bits_set)
-    floors = index_floor(asked.where("may_contain"), index)
-    hit = asked.where("may_contain").join(runs.select("run_id", "key", "value"), ["run_id", "key"], "left").join(floors, ["run_id", "key"], "left")
-    missed = asked.where(~F.col("may_contain")).select("run_id", "key", "may_contain", F.lit(None).cast("string").alias("value"), F.lit(None).cast("long").alias("offset"))
-    return hit.select("run_id", "key", "may_contain", "offset", "value").unionByName(missed)
+    floors = index_floor(probes, index)
+    held = runs.select("run_id", "key", "value")
+    passed = F.col("may_contain")
+    return (
+        asked.join(held, ["run_id", "key"], "left")
+        .join(floors, ["run_id", "key"], "left")
+        .select("run_id", "key", "may_contain", F.when(passed, F.col("offset")).alias("offset"), F.when(passed, F.col("value")).alias("value"))
+    )

@@ -215,7 +215,9 @@ def index_floor(s, d):
 
 @query
 def run_probe(s, d):
-    r = _runs(s, d)
+    path = work_dir(s, "runs")
+    _runs(s, d).write.parquet(path)  # runs are files; all parts of the read path read them
+    r = s.read.parquet(path)
     return probe.point_reads(_next_keys(r), r, probe.filter_bits(r), probe.sparse_index(r))
 
 
