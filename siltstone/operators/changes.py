@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltstone.session import delete_path, hadoop_path, publish, published
+from siltstone.session import delete_path, list_names, publish, published
 
 COLUMNS = ("store_id", "key", "wal_gen", "seq", "is_put")
 STATE = "store_id int, key string, wal_gen int, seq long, is_put boolean"
@@ -114,32 +114,43 @@ def _upserter(split_rows: int | None):
     return run
 
 
+def _bucket(buckets: int) -> Column:
+    """The bucket of a row, by the hash and modulus of the exchange, so that a bucket is one partition."""
+    return F.pmod(F.hash("store_id", "key"), F.lit(buckets))
+
+
 def resolve(changes: DataFrame, buckets: int) -> DataFrame:
     """The last change of each key with its bucket: store_id, key, wal_gen, seq, is_put, bucket. Tombstones included."""
     clean = changes.select(*COLUMNS).na.drop()
     partial = clean.mapInArrow(_upserter(SPLIT_ROWS), STATE)
-    # the same hash and modulus as the exchange, so a bucket is one partition
     routed = partial.repartition(buckets, "store_id", "key")
-    return routed.mapInArrow(_upserter(None), STATE).withColumn("bucket", F.pmod(F.hash("store_id", "key"), F.lit(buckets)))
+    return routed.mapInArrow(_upserter(None), STATE).withColumn("bucket", _bucket(buckets))
 
 
 class ChangeTable:
-    """A versioned table of current state in a shared folder.
+    """A versioned table of current state in a shared folder, for one writer and any readers.
 
-    ``apply`` folds a set of changes into the published version and publishes the next one.
-    A failed or repeated call leaves the published version whole; applying the same changes
-    twice gives the same state.
+    ``apply`` folds changes into the buckets they touch and publishes the next version; the
+    manifest names the version folder of every bucket, so buckets without changes are neither
+    read nor written. A failed or repeated call leaves the published state whole; applying
+    changes twice gives the same state. The number of buckets is fixed by the first call.
     """
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path
 
+    def _bucket_paths(self, at: dict[str, str]) -> list[str]:
+        return [f"{self.path}/{version}/bucket={b}" for b, version in at.items()]
+
+    def _read(self, at: dict[str, str]) -> DataFrame:
+        if not at:
+            return self.spark.createDataFrame([], STATE)
+        return self.spark.read.schema(STATE).parquet(*self._bucket_paths(at))
+
     def state(self) -> DataFrame:
         """Live keys and tombstones of the published version; no rows before the first."""
         now = published(self.spark, self.path)
-        if now is None:
-            return self.spark.createDataFrame([], STATE)
-        return self.spark.read.schema(STATE + ", bucket int").parquet(f"{self.path}/{now['version']}").drop("bucket")
+        return self._read(now["at"] if now else {})
 
     def live(self) -> DataFrame:
         return self.state().where("is_put").drop("is_put")
@@ -147,27 +158,31 @@ class ChangeTable:
     def apply(self, changes: DataFrame, buckets: int | None = None) -> str:
         """Apply changes and publish; returns the new version's name.
 
-        ``buckets`` defaults to one per BUCKET_ROWS changes, counted from file footers where the
-        source has them.
+        ``buckets`` counts for the first call only; its default is one per BUCKET_ROWS changes,
+        counted from file footers where the source has them.
         """
         import uuid
 
         now = published(self.spark, self.path)
         fed = changes.select(*COLUMNS)
         if now is not None:
-            fed = self.state().unionByName(fed)
-        if buckets is None:
+            buckets = now["buckets"]
+            # one row per bucket
+            touched = fed.na.drop().select(_bucket(buckets).alias("b")).distinct().toLocalIterator()
+            at = {b: now["at"][b] for b in (str(r.b) for r in touched) if b in now["at"]}
+            fed = self._read(at).unionByName(fed)
+        elif buckets is None:
             buckets = max(int(self.spark.conf.get("spark.sql.shuffle.partitions")), -(-fed.count() // BUCKET_ROWS))
         version = f"version-{uuid.uuid4().hex[:12]}"
         resolve(fed, buckets).write.partitionBy("bucket").parquet(f"{self.path}/{version}")
-        publish(self.spark, self.path, version, buckets=buckets)
+        written = [n[7:] for n in list_names(self.spark, f"{self.path}/{version}") if n.startswith("bucket=")]
+        publish(self.spark, self.path, version, buckets=buckets, at={**(now["at"] if now else {}), **dict.fromkeys(written, version)})
         return version
 
     def vacuum(self) -> None:
-        """Remove version folders other than the published one."""
+        """Remove version folders that no bucket of the published version lies in."""
         now = published(self.spark, self.path)
-        fs, p = hadoop_path(self.spark, self.path)
-        for s in fs.listStatus(p):
-            name = s.getPath().getName()
-            if name.startswith("version-") and (now is None or name != now["version"]):
+        kept = set(now["at"].values()) if now else set()
+        for name in list_names(self.spark, self.path):
+            if name.startswith("version-") and name not in kept:
                 delete_path(self.spark, f"{self.path}/{name}")

@@ -66,3 +66,14 @@ def test_failed_apply_leaves_the_published_version(spark, tmp_path, collected):
 def test_op_words(spark):
     df = spark.createDataFrame([(w,) for w in ["PUT", " put ", "Put", "0", "DELETE", "del", "1", "", None, "PUT?", "NOOP"]], "op string")
     assert [r[0] for r in df.select(changes.is_put(F.col("op"))).collect()] == [True] * 4 + [False] * 3 + [None] * 4
+
+
+def test_untouched_buckets_stay(spark, tmp_path, collected):
+    t = changes.ChangeTable(spark, f"file://{tmp_path}/t")
+    first = t.apply(spark.createDataFrame([(1, str(k), 1, 1, True) for k in range(50)], SCHEMA), buckets=8)
+    second = t.apply(spark.createDataFrame([(1, "7", 1, 2, False)], SCHEMA), buckets=3)
+    at = published(spark, t.path)["at"]
+    assert sorted(set(at.values())) == sorted({first, second}) and list(at.values()).count(second) == 1
+    assert collected(t.live().select("key")) == sorted(((str(k),) for k in range(50) if k != 7), key=repr)
+    t.vacuum()
+    assert t.live().count() == 49

@@ -182,3 +182,35 @@ def test_run_files_and_index_text(spark, tmp_path, collected):
 def test_route_puts(spark):
     df = spark.createDataFrame([('{"key":"a","value":"1"}',), ('{"key":"b","value":"2","ttl":5}',), ('{"key":"c","ttl":0}',), ("nonsense",), (None,)], "body string")
     assert [(r.key, r.route) for r in state.route_puts(df).collect()] == [("a", "PUT"), ("b", "PUT_TTL"), ("c", "PUT"), (None, "PUT"), (None, "PUT")]
+
+
+def test_full_merge_is_replay_and_grouping_does_not_matter(spark, data, collected):
+    from siltstone.sources.tables import oplog
+
+    plain = oplog(spark, data).where("op <> 'PUT_TTL'")
+    r = runs.flush(plain, 50, keep=("op", "value"))
+    keep = ("seq", "op", "value")
+    whole = collected(runs.merge(r, keep=keep).where("op = 'PUT'").select("key", "value"))
+    assert whole == collected(state.live(oplog(spark, data)))
+    for size in (2, 3, 5):
+        parts = runs.merge(r.withColumn("g", F.floor(F.col("run_id") / size)), "g", keep=keep).drop("g")
+        assert collected(runs.merge(parts, keep=keep).where("op = 'PUT'").select("key", "value")) == whole
+
+
+def test_level_occupancy_counts_all_runs(spark):
+    for n in (1, 7, 30, 64):
+        ids = spark.range(n).withColumnRenamed("id", "run_id")
+        occ = runs.occupancy(runs.tiers(ids, ids.agg(F.count("*").alias("n")))).collect()
+        assert sum(4**r.level * r.n_runs for r in occ) == n
+
+
+def test_late_and_repeated_batches_of_a_stream(spark, tmp_path, collected):
+    from siltstone.streaming.oplog import LatestState, log_stream
+
+    path = f"file://{tmp_path}/log"
+    schema = "seq long, ts_ms long, op string, key string, value string, expiry_ms long"
+    t = LatestState(spark, f"file://{tmp_path}/state")
+    for part in ([(3, 0, "DELETE", "a", "", 0), (4, 0, "PUT", "b", "1", 0)], [(1, 0, "PUT", "a", "x", 0), (4, 0, "PUT", "b", "1", 0)]):
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(path)
+        t.run(log_stream(spark, path))
+    assert collected(t.live()) == [("b", "1")]
