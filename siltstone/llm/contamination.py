@@ -48,7 +48,7 @@ MAX_VOCABULARY = 30_000
 _BORDER, _OTHER, _FIRST = 1, 2, 3
 
 #: Words of an item that located phrases must cover within a stretch for an alignment to be tried.
-STRETCH, COVERED = 30, 8
+STRETCH, COVERED = 30, 6
 #: Largest gaps between aligned runs, in words of the item and of the document.
 ITEM_GAP, DOC_GAP = 6, 12
 #: Times the median phrase's count from which an item's first phrase begins a formula.
