@@ -12,6 +12,15 @@ from pyspark.sql import functions as F
 BLOCK = 65_536
 
 
+def whole_div(column: str, n: int) -> Column:
+    """Integer division of a long column, exact over its whole range."""
+    return F.expr(f"`{column}` div {n}")
+
+
+def _block(by: str, block: int) -> Column:
+    return F.coalesce(whole_div(by, block), F.lit(-(2**62)))
+
+
 def with_ordinal(df: DataFrame, by: str, name: str = "ordinal", block: int = BLOCK) -> DataFrame:
     """Add ``name``, the row's number from 0 in ascending order of the long column ``by``.
 
@@ -19,8 +28,7 @@ def with_ordinal(df: DataFrame, by: str, name: str = "ordinal", block: int = BLO
     first, in no order among themselves. No rows give no rows. A column called as ``name`` is replaced.
     """
     df = df.drop(name)
-    b = F.floor(F.col(by) / F.lit(block)).cast("long")
-    tagged = df.withColumn("__block", F.coalesce(b, F.lit(-(2**62))))
+    tagged = df.withColumn("__block", _block(by, block))
     sums = tagged.groupBy("__block").agg(F.count("*").alias("__n"))
     # totals only; the empty partition key sorts them in one task
     before = sums.select("__block", (F.sum("__n").over(Window.orderBy("__block")) - F.col("__n")).alias("__before"))
@@ -31,7 +39,7 @@ def with_ordinal(df: DataFrame, by: str, name: str = "ordinal", block: int = BLO
 def with_previous(df: DataFrame, by: str, value: str, name: str, default: Column, block: int = BLOCK) -> DataFrame:
     """Add ``name``: ``value`` of the row before in ascending order of ``by``; ``default`` for the first row."""
     df = df.drop(name)
-    tagged = df.withColumn("__block", F.coalesce(F.floor(F.col(by) / F.lit(block)).cast("long"), F.lit(-(2**62))))
+    tagged = df.withColumn("__block", _block(by, block))
     ends = tagged.groupBy("__block").agg(F.max_by(F.struct(F.col(value).alias("v")), F.col(by)).alias("__last"))
     before = ends.select("__block", F.lag("__last").over(Window.orderBy("__block")).alias("__carry"))
     w = Window.partitionBy("__block").orderBy(F.col(by).asc_nulls_first())

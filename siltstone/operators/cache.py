@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siltstone.functions.ordinal import with_ordinal
+from siltstone.functions.ordinal import whole_div, with_ordinal
 
 
 def final_content(log: DataFrame, capacity: int) -> DataFrame:
@@ -26,7 +26,7 @@ def hits(log: DataFrame, capacity: int, block: int = 1_000_000) -> DataFrame:
     the blocks are then replayed in parallel. Every access counts, and a cache holds at most
     ``capacity`` keys. An empty log gives zeros; rows with a null key are no accesses.
     """
-    acc = with_ordinal(log.where(F.col("key").isNotNull()).select("seq", "key"), "seq").withColumn("blk", F.floor(F.col("ordinal") / block).cast("long"))
+    acc = with_ordinal(log.where(F.col("key").isNotNull()).select("seq", "key"), "seq").withColumn("blk", whole_div("ordinal", block))
     from pyspark.sql import Window
 
     last = acc.groupBy("blk", "key").agg(F.max("ordinal").alias("at"))

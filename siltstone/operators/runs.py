@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from siltstone.functions.ordinal import with_ordinal
+from siltstone.functions.ordinal import whole_div, with_ordinal
 from siltstone.operators.state import latest
 
 FAN_IN = 4
@@ -17,7 +17,7 @@ FAN_IN = 4
 
 def flush(log: DataFrame, ops_per_run: int, keep: tuple[str, ...] = ("value",)) -> DataFrame:
     """Cut a log into runs of ``ops_per_run`` mutations; within a run the last entry of a key counts."""
-    cut = with_ordinal(log, "seq").withColumn("run_id", F.floor(F.col("ordinal") / ops_per_run).cast("long"))
+    cut = with_ordinal(log, "seq").withColumn("run_id", whole_div("ordinal", ops_per_run))
     return latest(cut, "run_id", keep=keep)
 
 
@@ -42,7 +42,7 @@ def merge_tiers(runs: DataFrame, fan_in: int = FAN_IN) -> DataFrame:
     A tombstone must stay if an older run outside its group still holds the key, since
     dropping it would bring the old value back.
     """
-    grouped = runs.withColumn("grp", F.floor(F.col("run_id") / fan_in).cast("long"))
+    grouped = runs.withColumn("grp", whole_div("run_id", fan_in))
     merged = merge(grouped, "grp", keep=("seq", "op", "value"))
     oldest = merged.withColumn("__first", F.min("grp").over(Window.partitionBy("key")))
     return oldest.where(~((F.col("op") == "DELETE") & (F.col("__first") == F.col("grp")))).drop("__first")
@@ -86,7 +86,7 @@ def as_coded_deletes(log: DataFrame, ops_per_run: int) -> DataFrame:
     Deletes of keys without an earlier put in the same buffer span are lost.
     """
     plain = log.where(F.col("op").isin("PUT", "DELETE"))
-    cut = with_ordinal(plain, "seq").withColumn("run_id", F.floor(F.col("ordinal") / ops_per_run).cast("long"))
+    cut = with_ordinal(plain, "seq").withColumn("run_id", whole_div("ordinal", ops_per_run))
     first = F.min(F.when(F.col("op") == "PUT", F.col("seq"))).over(Window.partitionBy("key", "run_id"))
     kept = cut.withColumn("__first", first).where((F.col("op") == "PUT") | (F.col("__first") < F.col("seq")))
     return latest(kept).where(F.col("op") == "PUT").select("key", "value")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from siltstone.functions.ordinal import with_ordinal, with_previous
+from siltstone.functions.ordinal import whole_div, with_ordinal, with_previous
 from siltstone.operators.state import latest
 
 GROUP = 200
@@ -20,7 +20,7 @@ def deltas(log: DataFrame) -> DataFrame:
 
 def batches(log: DataFrame, size: int = GROUP) -> DataFrame:
     """Group commits of ``size`` entries: batch_id, n, first and last seq."""
-    b = with_ordinal(log.select("seq"), "seq").withColumn("batch_id", F.floor(F.col("ordinal") / size).cast("long"))
+    b = with_ordinal(log.select("seq"), "seq").withColumn("batch_id", whole_div("ordinal", size))
     return b.groupBy("batch_id").agg(F.count("*").alias("n"), F.min("seq").alias("first_seq"), F.max("seq").alias("last_seq"))
 
 
@@ -46,7 +46,7 @@ def verify_checksum(log: DataFrame) -> DataFrame:
 
 def tail(log: DataFrame, ops_per_run: int) -> DataFrame:
     """Entries after the last full run, which a truncation must keep."""
-    cut = with_ordinal(log, "seq").withColumn("__run", F.floor(F.col("ordinal") / ops_per_run))
+    cut = with_ordinal(log, "seq").withColumn("__run", whole_div("ordinal", ops_per_run))
     full = cut.groupBy("__run").agg(F.count("*").alias("n"), F.max("seq").alias("last")).where(F.col("n") == ops_per_run)
     flushed = full.agg(F.coalesce(F.max("last"), F.lit(-(2**63) + 1)).alias("flushed_seq")).withColumn("__one", F.lit(1))
     return log.withColumn("__one", F.lit(1)).join(F.broadcast(flushed), "__one").where(F.col("seq") > F.col("flushed_seq")).drop("__one", "flushed_seq")

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siltstone.functions.hashing import bit_position, fnv_hash, mix_hash, sha_hash
+from siltstone.functions.ordinal import whole_div
 from siltstone.functions.units import to_millis
 from siltstone.operators import cache, probe, runs, state, ttl, wal
 from siltstone.session import work_dir
@@ -119,12 +120,12 @@ def wal_tail(s, d):
 
 @query
 def compact_newest(s, d):
-    return runs.merge(_runs(s, d).withColumn("grp", F.floor(F.col("run_id") / 4).cast("long")), "grp")
+    return runs.merge(_runs(s, d).withColumn("grp", whole_div("run_id", 4)), "grp")
 
 
 @query
 def compact_oldest(s, d):
-    return runs.merge(_runs(s, d).withColumn("grp", F.floor(F.col("run_id") / 4).cast("long")), "grp", newest=False)
+    return runs.merge(_runs(s, d).withColumn("grp", whole_div("run_id", 4)), "grp", newest=False)
 
 
 @query
