@@ -23,6 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from siltstone.functions.ordinal import whole_div
+
 RECORD = ("store_id", "run_id", "key")
 FINGERPRINT_BITS = 16
 #: Least width of a generation in runs, and how many generations there may be at most.
@@ -108,7 +110,7 @@ def occurrences(records: DataFrame, others: DataFrame | None, width: int) -> Dat
     rows = records.select(*RECORD, F.lit(True).alias("is_record"))
     if others is not None:
         rows = rows.unionByName(others.select(*RECORD, F.lit(False).alias("is_record")))
-    rows = rows.na.drop(subset=list(RECORD)).withColumn("gen", F.floor(F.col("run_id") / width).cast("long"))
+    rows = rows.na.drop(subset=list(RECORD)).withColumn("gen", whole_div("run_id", width))
     return rows.groupBy("store_id", "key", "gen").agg(F.min("run_id").alias("min_run"), F.collect_set(F.when(F.col("is_record"), F.col("run_id"))).alias("runs"))
 
 
