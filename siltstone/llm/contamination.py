@@ -17,8 +17,8 @@ Weights are relative within an item, so a passage that a third of the corpus hol
 well as one that occurs once. No number of documents, hits or pairs is capped.
 
 Defined results: null, empty and blank texts hold nothing. Items with fewer than ``MIN_WORDS``
-words, and items without text, are found nowhere. Equal items are each reported. Repeated
-documents are each reported. An empty corpus or item set gives no rows. Only ids and texts are
+words, and items without text, are found nowhere. Equal items are each reported. Rows
+with the same id are one document. An empty corpus or item set gives no rows. Only ids and texts are
 read, so other columns may clash with nothing.
 """
 
@@ -145,11 +145,16 @@ def _item_blocks(items: DataFrame, id_col: str, text_col: str) -> Iterator[ItemS
         yield ItemSet(block)
 
 
-_SHARD = "docs binary, starts binary, text binary, fm binary, three binary, four binary"
+_SHARD = "docs binary, offsets binary, starts binary, text binary, fm binary, three binary, four binary"
 
 
-def build_shards(documents: DataFrame, items: ItemSet, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Write one row per shard: document ids and starts, symbols, FM-index, phrase counts. No shuffle."""
+def build_shards(documents: DataFrame, items: ItemSet, path: str, id_col: str = "doc_id", text_col: str = "text", shard_words: int = SHARD_WORDS) -> DataFrame:
+    """Write one row per shard: document ids, word offsets and starts, symbols, FM-index, phrase counts. No shuffle.
+
+    A document longer than a shard becomes several pieces that overlap by more than any passage.
+    """
+    overlap = max((len(t) for t in items.texts), default=0) * 2 + 8 * DOC_GAP
+    shard_words = max(shard_words, 2 * overlap)
     sent = documents.sparkSession.sparkContext.broadcast(items)
     src = documents.select(documents[id_col].cast("long").alias("i"), documents[text_col].alias("t")).where("t is not null")
 
@@ -157,6 +162,7 @@ def build_shards(documents: DataFrame, items: ItemSet, path: str, id_col: str =
         block: ItemSet = sent.value
         symbol = block.symbol
         ids: list[int] = []
+        offsets: list[int] = []
         parts: list[list[int]] = []
         n = 0
 
@@ -166,21 +172,25 @@ def build_shards(documents: DataFrame, items: ItemSet, path: str, id_col: str =
             text = np.fromiter((x for p in parts for x in (*p, _BORDER)), dtype=np.uint16, count=int(starts[-1]))
             fm = FMIndex.build(text, block.symbols)
             lo, hi, three = block.search(fm)
-            cols = [np.array(ids, np.int64), starts, text, None, three.astype(np.int64), (hi - lo).astype(np.int64)]
+            cols = [np.array(ids, np.int64), np.array(offsets, np.int64), starts, text, None, three.astype(np.int64), (hi - lo).astype(np.int64)]
             data = [pa.array([fm.dump() if c is None else c.tobytes()], pa.binary()) for c in cols]
-            return pa.RecordBatch.from_arrays(data, names=["docs", "starts", "text", "fm", "three", "four"])
+            return pa.RecordBatch.from_arrays(data, names=["docs", "offsets", "starts", "text", "fm", "three", "four"])
 
         for b in batches:
             for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 ws = words(t)
                 if i is None or not ws:
                     continue
-                parts.append([symbol.get(w, _OTHER) for w in ws])
-                ids.append(i)
-                n += len(ws) + 1
-                if n >= SHARD_WORDS:
-                    yield flush()
-                    ids, parts, n = [], [], 0
+                whole = [symbol.get(w, _OTHER) for w in ws]
+                for at in range(0, max(1, len(whole) - overlap), shard_words - overlap):
+                    piece = whole[at : at + shard_words]
+                    parts.append(piece)
+                    ids.append(i)
+                    offsets.append(at)
+                    n += len(piece) + 1
+                    if n >= shard_words:
+                        yield flush()
+                        ids, offsets, parts, n = [], [], [], 0
         if ids:
             yield flush()
 
@@ -337,7 +347,9 @@ class Searcher:
         return found
 
 
-def leaks(documents: DataFrame, items: DataFrame, path: str, id_col: str = "doc_id", item_col: str = "item_id", text_col: str = "text") -> DataFrame:
+def leaks(
+    documents: DataFrame, items: DataFrame, path: str, id_col: str = "doc_id", item_col: str = "item_id", text_col: str = "text", shard_words: int = SHARD_WORDS
+) -> DataFrame:
     """(doc_id, item_id, item_from, item_to, doc_from, doc_to): the longest passage per document and item, in word places.
 
     ``path`` is a folder all executors share; the shards' indexes are written there.
@@ -346,29 +358,33 @@ def leaks(documents: DataFrame, items: DataFrame, path: str, id_col: str = "doc_
     schema = "doc_id long, item_id long, item_from int, item_to int, doc_from int, doc_to int"
     out = spark.createDataFrame([], schema)
     for number, block in enumerate(_item_blocks(items, item_col, text_col)):
-        shards = build_shards(documents, block, f"{path}/shards-{number}", id_col, text_col)
+        shards = build_shards(documents, block, f"{path}/shards-{number}", id_col, text_col, shard_words)
         searcher = Searcher(block, *phrase_counts(shards, len(block.item)))
         sent = spark.sparkContext.broadcast(searcher)
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             s: Searcher = sent.value
             for b in batches:
-                for docs, starts, text, fm in zip(*(c.to_pylist() for c in b.columns)):
+                for docs, offsets, starts, text, fm in zip(*(c.to_pylist() for c in b.columns)):
                     ids, begin, symbols = np.frombuffer(docs, np.int64), np.frombuffer(starts, np.int64), np.frombuffer(text, np.uint16)
+                    ahead = np.frombuffer(offsets, np.int64)
                     rows = []
                     for d, k, first, last in s.candidates(FMIndex.load(fm), begin):
                         reach = len(s.items.texts[k]) + 4 * DOC_GAP
                         low, high = max(int(begin[d]), first - reach), min(int(begin[d + 1]) - 1, last + reach)
                         got = s.align(k, symbols[low:high])
                         if got:
-                            shift = low - int(begin[d])
+                            shift = low - int(begin[d]) + int(ahead[d])
                             rows.append((int(ids[d]), int(s.items.ids[k]), got[0], got[1], got[2] + shift, got[3] + shift))
                     cols = list(zip(*rows)) or [()] * 6
                     kinds = [pa.int64(), pa.int64(), *[pa.int32()] * 4]
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], names=["doc_id", "item_id", "item_from", "item_to", "doc_from", "doc_to"])
 
-        out = out.unionByName(shards.select("docs", "starts", "text", "fm").mapInArrow(run, schema)) if number else shards.select("docs", "starts", "text", "fm").mapInArrow(run, schema)
-    return out
+        found = shards.select("docs", "offsets", "starts", "text", "fm").mapInArrow(run, schema)
+        out = out.unionByName(found) if number else found
+    # pieces of a document and repeated rows may each show a passage
+    longest = F.max(F.struct((F.col("item_to") - F.col("item_from")).alias("n"), "item_from", "item_to", "doc_from", "doc_to"))
+    return out.groupBy("doc_id", "item_id").agg(longest.alias("p")).select("doc_id", "item_id", "p.item_from", "p.item_to", "p.doc_from", "p.doc_to")
 
 
 def removal_spans(found: DataFrame) -> DataFrame:

@@ -91,6 +91,17 @@ def test_a_third_of_the_corpus_may_hold_a_passage(spark, tmp_path):
     assert {x.doc_id for x in c.leaks(d, i, f"file://{tmp_path}/a").collect()} == {k for k in range(300) if k % 3 == 0}
 
 
+def test_documents_longer_than_a_shard(spark, tmp_path):
+    r = random.Random(9)
+    item = prose(r, 40)
+    text = [*prose(r, 900), *item, *prose(r, 700), *item[5:35], *prose(r, 300)]
+    d = spark.createDataFrame([(1, " ".join(text)), (1, " ".join(text)), (2, " ".join(prose(r, 1500)))], "doc_id long, text string")
+    i = spark.createDataFrame([(7, " ".join(item))], "item_id long, text string")
+    for size in (10, 500, 10_000):
+        got = c.leaks(d, i, f"file://{tmp_path}/{size}", shard_words=size).collect()
+        assert [(x.doc_id, x.item_id, x.item_from, x.item_to, x.doc_from, x.doc_to) for x in got] == [(1, 7, 0, 40, 900, 940)]
+
+
 def test_empty_sides(spark, tmp_path):
     d = spark.createDataFrame([], "doc_id long, text string")
     i = spark.createDataFrame([(1, " ".join(WORDS[:40]))], "item_id long, text string")
