@@ -6,7 +6,7 @@ from collections import OrderedDict
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from siltstone.functions.ordinal import whole_div, with_ordinal
@@ -18,17 +18,22 @@ def final_content(log: DataFrame, capacity: int) -> DataFrame:
     return last.orderBy(F.desc("last_seq"), "key").limit(capacity)
 
 
+#: Rows of block summaries that one task may fold.
+SUMMARY_ROWS = 4_000_000
+
+
 def hits(log: DataFrame, capacity: int, block: int = 1_000_000) -> DataFrame:
     """One row with accesses and hits when every access inserts or promotes its key.
 
-    The log is cut into blocks of ``block`` accesses. The cache at a block's start is the last
+    The log is cut into blocks of ``block`` accesses, or more where the summaries of all blocks
+    would exceed SUMMARY_ROWS. The cache at a block's start is the last
     ``capacity`` distinct keys before it, folded from each block's own last ``capacity`` keys;
     the blocks are then replayed in parallel. Every access counts, and a cache holds at most
     ``capacity`` keys. An empty log gives zeros; rows with a null key are no accesses.
     """
-    acc = with_ordinal(log.where(F.col("key").isNotNull()).select("seq", "key"), "seq").withColumn("blk", whole_div("ordinal", block))
-    from pyspark.sql import Window
-
+    accesses = log.where(F.col("key").isNotNull()).select("seq", "key")
+    block = max(block, -(-accesses.count() * capacity // SUMMARY_ROWS))
+    acc = with_ordinal(accesses, "seq").withColumn("blk", whole_div("ordinal", block))
     last = acc.groupBy("blk", "key").agg(F.max("ordinal").alias("at"))
     top = last.withColumn("rk", F.row_number().over(Window.partitionBy("blk").orderBy(F.desc("at")))).where(F.col("rk") <= capacity).drop("rk")
 
@@ -45,7 +50,7 @@ def hits(log: DataFrame, capacity: int, block: int = 1_000_000) -> DataFrame:
                 cache.popitem(last=False)
         return pd.DataFrame(rows, columns=["blk", "ordinal", "key"])
 
-    # a block gives at most ``capacity`` rows, so this one group is small beside the log
+    # a block gives at most ``capacity`` rows, and the blocks together at most SUMMARY_ROWS
     start = top.withColumn("all", F.lit(1)).groupBy("all").applyInPandas(lambda pdf: starts(pdf[["blk", "key", "at"]]), "blk long, ordinal long, key string")
     feed = acc.select("blk", "ordinal", "key", F.lit(1).alias("real")).unionByName(start.withColumn("ordinal", F.col("ordinal") - capacity * 2 - 1 - F.lit(2**40)).withColumn("real", F.lit(0)))
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from siltstone.operators import changes, skew
 from siltstone.session import table_path, work_dir
 from siltstone.sources.tables import table
-from siltstone.streaming.compactor import Compactor, remap_index
+from siltstone.streaming.compactor import Compactor, catalogue, remap_index
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
@@ -59,7 +59,12 @@ def p4_index(spark: SparkSession, d: str) -> DataFrame:
     return remap_index(table(spark, d, "index_entry"), _compacted(spark, d).locations())
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p3_found, p3_per_key, p4_found, p4_index)}
+def p4_files(spark: SparkSession, d: str) -> DataFrame:
+    """What became of each catalogued file."""
+    return catalogue(table(spark, d, "run_file"), table(spark, d, "sst_write"))
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p3_found, p3_per_key, p4_found, p4_index, p4_files)}
 
 ORACLE: dict[str, str] = {
     "p1_found": """WITH c AS (
@@ -75,5 +80,8 @@ ORACLE: dict[str, str] = {
       v AS (SELECT table_name, key, value, count(*) AS c FROM t WHERE key IS NOT NULL AND value IS NOT NULL GROUP BY 1,2,3),
       m AS (SELECT table_name, key, value AS mode, c AS mode_weight FROM (SELECT *, row_number() OVER (PARTITION BY table_name, key ORDER BY c DESC, value) AS rn FROM v) WHERE rn=1)
       SELECT a.*, m.mode, m.mode_weight FROM a LEFT JOIN m USING (table_name, key)""",
+    "p4_files": """WITH r AS (SELECT file_id, count(DISTINCT (store_id, run_id, key)) AS n FROM sst_write WHERE key IS NOT NULL AND store_id IS NOT NULL AND run_id IS NOT NULL GROUP BY 1)
+      SELECT f.file_id, f.store_id, f.run_id, coalesce(r.n, 0) AS n_found, CASE WHEN r.n > 0 THEN 'absorbed' WHEN archived_at IS NOT NULL THEN 'archived' ELSE 'empty' END AS fate
+      FROM run_file f LEFT JOIN r USING (file_id)""",
     "p4_found": "SELECT DISTINCT store_id, run_id, key FROM sst_write WHERE key IS NOT NULL AND store_id IS NOT NULL AND run_id IS NOT NULL",
 }

@@ -86,6 +86,18 @@ class Compactor:
         return df.select(*RECORD, file.alias("data_file"), F.col("_metadata.row_index").alias("row_in_file"))
 
 
+def catalogue(files: DataFrame, records: DataFrame) -> DataFrame:
+    """What became of each file: file_id, store_id, run_id, n_found distinct records read from it, and its fate.
+
+    ``absorbed`` files have records in the data, ``archived`` ones had theirs removed, ``empty`` ones
+    hold none. The counts that the files claim are not used, as they may be null or wrong.
+    """
+    held = records.na.drop(subset=[*RECORD, "file_id"]).groupBy("file_id", *RECORD).agg(F.count("*").alias("__n")).groupBy("file_id").agg(F.count("*").alias("n_found"))
+    n = F.coalesce("n_found", F.lit(0))
+    fate = F.when(n > 0, "absorbed").when(F.col("archived_at").isNotNull(), "archived").otherwise("empty")
+    return files.select("file_id", "store_id", "run_id", "archived_at").join(held, "file_id", "left").select("file_id", "store_id", "run_id", n.alias("n_found"), fate.alias("fate"))
+
+
 def remap_index(index: DataFrame, locations: DataFrame) -> DataFrame:
     """Index entries brought to the consolidated files: store_id, run_id, key, data_file, row_in_file.
 
