@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 
 from siltstone.functions.hashing import FILTER_BITS, bit_positions
 
-# Fixed values
+# Bytes between index entries; length prefix, timestamp field, and the head of a text field
 INDEX_INTERVAL = 4096
-RECORD_OVERHEAD = 4 + 7 + 2 + 2
+PREFIX_BYTES, TIMESTAMP_BYTES, FIELD_HEAD_BYTES = 4, 7, 2
 
 
 def filter_bits(runs: DataFrame, bits: int = FILTER_BITS) -> DataFrame:
@@ -43,7 +43,8 @@ def probe_filters(probes: DataFrame, bits_set: DataFrame, bits: int = FILTER_BIT
 def record_bytes(key: str = "key", value: str = "value"):
     """Encoded length of a run record with key and value of 1 to 127 bytes; an empty or null value takes no field."""
     v = F.coalesce(F.octet_length(value), F.lit(0))
-    return (F.lit(4 + 7 + 2) + F.octet_length(key) + F.when(v > 0, v + 2).otherwise(0)).cast("long")
+    fixed = F.lit(PREFIX_BYTES + TIMESTAMP_BYTES + FIELD_HEAD_BYTES)
+    return (fixed + F.octet_length(key) + F.when(v > 0, v + FIELD_HEAD_BYTES).otherwise(0)).cast("long")
 
 
 def sparse_index(runs: DataFrame, interval: int = INDEX_INTERVAL) -> DataFrame:

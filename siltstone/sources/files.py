@@ -39,9 +39,10 @@ def recover_catalog(spark: SparkSession, path: str) -> DataFrame:
 
     An empty folder gives no rows. Duplicate files of a run count together.
     """
-    runs = spark.read.parquet(path).groupBy("run_id").agg(F.count("*").alias("n_records"), F.max("key").alias("max_key"))
+    found = spark.read.schema("key string, run_id long").parquet(path)
+    runs = found.groupBy("run_id").agg(F.count("*").alias("n_records"), F.max("key").alias("max_key"))
     # the maximum is one row; partition discovery makes it a scan of file names
-    top = spark.read.parquet(path).agg((F.max("run_id") + 1).alias("next_run_id"))
+    top = found.agg((F.max("run_id") + 1).alias("next_run_id"))
     return runs.withColumn("one", F.lit(1)).join(F.broadcast(top.withColumn("one", F.lit(1))), "one").select(
         "run_id", F.lit(0).alias("level"), "n_records", "max_key", "next_run_id"
     )

@@ -173,6 +173,8 @@ def test_cache_blocks_equal_one_replay(spark, block):
 def test_run_files_and_index_text(spark, tmp_path, collected):
     df = spark.createDataFrame([(1, "b", "2"), (1, "a", "1"), (3, "c", "3")], "run_id long, key string, value string")
     files.write_runs(df, str(tmp_path / "runs"))
+    (tmp_path / "none").mkdir()
+    assert files.recover_catalog(spark, str(tmp_path / "none")).count() == 0
     assert collected(files.recover_catalog(spark, str(tmp_path / "runs"))) == [(1, 0, 2, "b", 4), (3, 0, 1, "c", 4)]
     idx = spark.createDataFrame([("x::||::y", 5), ("k", 0)], "key string, offset long")
     files.write_index_text(idx, str(tmp_path / "idx"))
