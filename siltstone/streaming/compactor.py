@@ -51,7 +51,9 @@ class Compactor:
             fresh = _one_each(df)
             earlier = [b for b in self.committed() if b < batch]  # the same for every attempt of this batch
             if earlier:
-                held = self.spark.read.schema(self.schema).parquet(*(self._folder(b) for b in earlier)).select(*RECORD)
+                # copies lie in the same run; files are sorted by run, so the range skips most of what is held
+                low, high = df.agg(F.min("run_id"), F.max("run_id")).first()
+                held = self.spark.read.schema(self.schema).parquet(*(self._folder(b) for b in earlier)).select(*RECORD).where(F.col("run_id").between(low, high))
                 fresh = fresh.join(held, list(RECORD), "left_anti")
             n = max(1, -(-rows // self.file_rows))
             # an exchange even for one file, so that the step before it keeps its tasks
