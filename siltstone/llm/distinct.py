@@ -74,7 +74,8 @@ def count_by(totals: DataFrame, *groupings: tuple[str, ...]) -> DataFrame:
 
 def jumps(totals: DataFrame, ratio: float = 1.6, least: int = 8) -> DataFrame:
     """Groups (day, store, level) and (day, store, all levels) with at least ``ratio`` times the
-    distinct identifiers of the calendar day before, which has at least ``least``."""
+    distinct identifiers of the calendar day before, which has at least ``least``. A group
+    without a store or level is compared with no other."""
     counts = count_by(totals, ("day", "store_id"), PARTS)
     c = counts.select("day", "store_id", F.when(F.col("grouping") == "day+store_id", ALL_LEVELS).otherwise(F.col("level")).alias("level"), "n")
     before = c.select(F.date_format(F.date_add(F.to_date("day"), 1), "yyyy-MM-dd").alias("day"), "store_id", "level", F.col("n").alias("n_before"))
