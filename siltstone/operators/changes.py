@@ -1,6 +1,6 @@
 """Apply a feed of inserts, updates and deletes in order, whatever order it arrives in.
 
-Changes are rows (store_id, key, wal_gen, seq, is_put). They are divided into buckets by
+Changes are rows (store_id, key, wal_gen, seq, is_put), with a value where the table holds values. They are divided into buckets by
 (store_id, key); each bucket is one embedded DuckDB table with a primary key, into which
 changes are upserted: a conflict overwrites only if the incoming (wal_gen, seq) is greater
 than the stored one. Deletes stay as tombstone rows, so a late older put cannot bring a key
@@ -10,7 +10,8 @@ and one rename of a manifest makes all of them current at once.
 
 Defined results: rows with a null store_id, key, wal_gen, seq or is_put are no changes and are
 dropped. Repeated rows have no effect. If a put and a delete claim the same (wal_gen, seq), the
-delete counts. Empty and very long keys are keys like any other. No changes give no rows.
+delete counts; if two puts with different values claim it, the greater value counts, null least.
+Values decide nothing else. Empty and very long keys are keys like any other. No changes give no rows.
 Further columns are ignored, so they may clash with any name used here.
 """
 
@@ -26,6 +27,7 @@ from siltstone.session import delete_path, list_names, publish, published
 
 COLUMNS = ("store_id", "key", "wal_gen", "seq", "is_put")
 STATE = "store_id int, key string, wal_gen int, seq long, is_put boolean"
+VALUE = ", value string"
 
 # Fixed values
 PUT_WORDS = ("PUT", "0")
@@ -46,39 +48,42 @@ def is_put(op: Column) -> Column:
 
 
 def from_log(log: DataFrame) -> DataFrame:
-    return log.select("store_id", "key", "wal_gen", "seq", is_put(F.col("op")).alias("is_put"))
+    return log.select("store_id", "key", "wal_gen", "seq", is_put(F.col("op")).alias("is_put"), "value")
 
 
 def from_runs(records: DataFrame) -> DataFrame:
     """Run records as changes; an unset tombstone flag means a put."""
-    return records.select("store_id", "key", "wal_gen", "seq", (~F.coalesce(F.col("isTombstone"), F.lit(False))).alias("is_put"))
+    return records.select("store_id", "key", "wal_gen", "seq", (~F.coalesce(F.col("isTombstone"), F.lit(False))).alias("is_put"), "value")
 
 
 class _Table:
     """One bucket's state in an embedded DuckDB table."""
 
-    def __init__(self) -> None:
+    def __init__(self, values: bool) -> None:
         import duckdb
 
+        self.values = values
+        # what is compared, in this order; in SQL terms for incoming and stored rows
+        order = ["{0}wal_gen", "{0}seq", "NOT {0}is_put"] + (["{0}value IS NOT NULL", "coalesce({0}value, '')"] if values else [])
+        kept = ["wal_gen", "seq", "is_put"] + (["value"] if values else [])
+        fields = ", ".join(f"'o{i}': {o.format('')}" for i, o in enumerate(order)) + ", " + ", ".join(f"'{k}': {k}" for k in kept)
+        # a command may touch a row once only, so a batch is first reduced to its last change per key
+        self.command = f"""INSERT INTO state SELECT store_id, key, {", ".join(f"w.{k}" for k in kept)}
+            FROM (SELECT store_id, key, max({{{fields}}}) AS w FROM incoming GROUP BY store_id, key)
+            ON CONFLICT (store_id, key) DO UPDATE SET {", ".join(f"{k} = excluded.{k}" for k in kept)}
+            WHERE ({", ".join(o.format("excluded.") for o in order)}) > ({", ".join(o.format("state.") for o in order)})"""
+
         self.con = duckdb.connect(":memory:", config={"threads": 1, "memory_limit": "512MB"})
         self.con.execute("SET preserve_insertion_order=false; SET temp_directory=''")
         self.clear()
 
     def clear(self) -> None:
-        self.con.execute("CREATE OR REPLACE TABLE state (store_id INTEGER, key VARCHAR, wal_gen INTEGER, seq BIGINT, is_put BOOLEAN, PRIMARY KEY (store_id, key))")
+        self.con.execute("CREATE OR REPLACE TABLE state (store_id INTEGER, key VARCHAR, wal_gen INTEGER, seq BIGINT, is_put BOOLEAN" + ", value VARCHAR" * self.values + ", PRIMARY KEY (store_id, key))")
         self.rows = 0
 
     def upsert(self, batch: pa.Table) -> None:
         self.con.register("incoming", batch)
-        # a command may touch a row once only, so the batch is reduced to its last change per key
-        self.con.execute(
-            """INSERT INTO state
-               SELECT store_id, key, w.wal_gen, w.seq, w.is_put FROM (
-                 SELECT store_id, key, max({'wal_gen': wal_gen, 'seq': seq, 'is_delete': NOT is_put, 'is_put': is_put}) AS w
-                 FROM incoming GROUP BY store_id, key)
-               ON CONFLICT (store_id, key) DO UPDATE SET wal_gen = excluded.wal_gen, seq = excluded.seq, is_put = excluded.is_put
-               WHERE (excluded.wal_gen, excluded.seq, NOT excluded.is_put) > (state.wal_gen, state.seq, NOT state.is_put)"""
-        )
+        self.con.execute(self.command)
         self.con.unregister("incoming")
         self.rows = self.con.execute("SELECT count(*) FROM state").fetchall()[0][0]
 
@@ -89,11 +94,11 @@ class _Table:
         self.con.close()
 
 
-def _upserter(split_rows: int | None):
+def _upserter(split_rows: int | None, values: bool):
     """Arrow batches of changes to batches of state; passes state on early beyond ``split_rows``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, held, n = _Table(), [], 0
+        table, held, n = _Table(values), [], 0
         try:
             for b in batches:
                 held.append(b)
@@ -119,12 +124,13 @@ def _bucket(buckets: int) -> Column:
     return F.pmod(F.hash("store_id", "key"), F.lit(buckets))
 
 
-def resolve(changes: DataFrame, buckets: int) -> DataFrame:
-    """The last change of each key with its bucket: store_id, key, wal_gen, seq, is_put, bucket. Tombstones included."""
-    clean = changes.select(*COLUMNS).na.drop()
-    partial = clean.mapInArrow(_upserter(SPLIT_ROWS), STATE)
+def resolve(changes: DataFrame, buckets: int, values: bool = False) -> DataFrame:
+    """The last change of each key with its bucket: store_id, key, wal_gen, seq, is_put, value if asked for, bucket. Tombstones included."""
+    schema = STATE + VALUE * values
+    clean = changes.select(*COLUMNS, *["value"] * values).na.drop(subset=list(COLUMNS))
+    partial = clean.mapInArrow(_upserter(SPLIT_ROWS, values), schema)
     routed = partial.repartition(buckets, "store_id", "key")
-    return routed.mapInArrow(_upserter(None), STATE).withColumn("bucket", _bucket(buckets))
+    return routed.mapInArrow(_upserter(None, values), schema).withColumn("bucket", _bucket(buckets))
 
 
 class ChangeTable:
@@ -136,16 +142,18 @@ class ChangeTable:
     changes twice gives the same state. The number of buckets is fixed by the first call.
     """
 
-    def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path
+    def __init__(self, spark: SparkSession, path: str, values: bool = False):
+        """``values``: whether the table holds the changes' ``value``, too."""
+        self.spark, self.path, self.values = spark, path, values
+        self.schema = STATE + VALUE * values
 
     def _bucket_paths(self, at: dict[str, str]) -> list[str]:
         return [f"{self.path}/{version}/bucket={b}" for b, version in at.items()]
 
     def _read(self, at: dict[str, str]) -> DataFrame:
         if not at:
-            return self.spark.createDataFrame([], STATE)
-        return self.spark.read.schema(STATE).parquet(*self._bucket_paths(at))
+            return self.spark.createDataFrame([], self.schema)
+        return self.spark.read.schema(self.schema).parquet(*self._bucket_paths(at))
 
     def state(self) -> DataFrame:
         """Live keys and tombstones of the published version; no rows before the first."""
@@ -164,21 +172,32 @@ class ChangeTable:
         import uuid
 
         now = published(self.spark, self.path)
-        fed = changes.select(*COLUMNS)
+        fed = changes.select(*COLUMNS, *["value"] * self.values)
         if now is not None:
             buckets = now["buckets"]
             # one row per bucket
-            touched = fed.na.drop().select(_bucket(buckets).alias("b")).distinct().toLocalIterator()
+            touched = fed.na.drop(subset=list(COLUMNS)).select(_bucket(buckets).alias("b")).distinct().toLocalIterator()
             at = {b: now["at"][b] for b in (str(r.b) for r in touched) if b in now["at"]}
             fed = self._read(at).unionByName(fed)
         elif buckets is None:
             buckets = max(int(self.spark.conf.get("spark.sql.shuffle.partitions")), -(-fed.count() // BUCKET_ROWS))
         version = f"version-{uuid.uuid4().hex[:12]}"
-        resolve(fed, buckets).write.partitionBy("bucket").parquet(f"{self.path}/{version}")
+        resolve(fed, buckets, self.values).write.partitionBy("bucket").parquet(f"{self.path}/{version}")
         written = [n[7:] for n in list_names(self.spark, f"{self.path}/{version}") if n.startswith("bucket=")]
         publish(self.spark, self.path, version, buckets=buckets, at={**(now["at"] if now else {}), **dict.fromkeys(written, version)})
         return version
 
+    def follow(self, stream: DataFrame, checkpoint: str) -> None:
+        """Apply what a stream of changes holds, batch by batch, and stop; a later call goes on from the checkpoint.
+
+        A batch that is repeated after a failure changes nothing, so each change counts once.
+        """
+        q = stream.writeStream.foreachBatch(lambda batch, _: self.apply(batch)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+        try:
+            q.awaitTermination()
+        finally:
+            q.stop()
+
     def vacuum(self) -> None:
         """Remove version folders that no bucket of the published version lies in."""
         now = published(self.spark, self.path)

@@ -19,6 +19,14 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
     return target.live().select("store_id", "key", "wal_gen", "seq")
 
 
+def p1_state(spark: SparkSession, d: str) -> DataFrame:
+    """The rebuilt tables: live keys of each store with their values."""
+    feed = changes.from_log(table(spark, d, "log_entry")).unionByName(changes.from_runs(table(spark, d, "sst_write")))
+    target = changes.ChangeTable(spark, work_dir(spark, "changes"), values=True)
+    target.apply(feed)
+    return target.live()
+
+
 def _keyed(spark: SparkSession, d: str) -> DataFrame:
     named = [table(spark, d, t).select(F.lit(t).alias("table_name"), "key", "value") for t in ("log_entry", "sst_write")]
     return named[0].unionByName(named[1])
@@ -64,7 +72,7 @@ def p4_files(spark: SparkSession, d: str) -> DataFrame:
     return catalogue(table(spark, d, "run_file"), table(spark, d, "sst_write"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p3_found, p3_per_key, p4_found, p4_index, p4_files)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_state, p3_found, p3_per_key, p4_found, p4_index, p4_files)}
 
 ORACLE: dict[str, str] = {
     "p1_found": """WITH c AS (
@@ -72,6 +80,11 @@ ORACLE: dict[str, str] = {
         UNION ALL SELECT store_id, key, wal_gen, seq, isTombstone IS NOT TRUE FROM sst_write),
       r AS (SELECT *, row_number() OVER (PARTITION BY store_id, key ORDER BY wal_gen DESC, seq DESC, put) AS rn FROM c WHERE put IS NOT NULL AND key IS NOT NULL)
       SELECT store_id, key, wal_gen, seq FROM r WHERE rn=1 AND put""",
+    "p1_state": """WITH c AS (
+        SELECT store_id, key, wal_gen, seq, CASE WHEN upper(trim(op)) IN ('PUT','0') THEN true WHEN upper(trim(op)) IN ('DELETE','DEL','1') THEN false END AS put, value FROM log_entry
+        UNION ALL SELECT store_id, key, wal_gen, seq, isTombstone IS NOT TRUE, value FROM sst_write),
+      r AS (SELECT *, row_number() OVER (PARTITION BY store_id, key ORDER BY wal_gen DESC, seq DESC, put, value DESC NULLS LAST) AS rn FROM c WHERE put IS NOT NULL AND key IS NOT NULL)
+      SELECT store_id, key, wal_gen, seq, value FROM r WHERE rn=1 AND put""",
     "p3_found": """WITH t AS (SELECT 'log_entry' AS table_name, key FROM log_entry UNION ALL SELECT 'sst_write', key FROM sst_write),
       n AS (SELECT table_name, key, count(*) AS n FROM t GROUP BY 1,2), s AS (SELECT table_name, count(*) AS total FROM t GROUP BY 1)
       SELECT table_name, key FROM n JOIN s USING (table_name) WHERE key IS NOT NULL AND n >= 0.02*total""",

@@ -63,6 +63,23 @@ def test_failed_apply_leaves_the_published_version(spark, tmp_path, collected):
     assert collected(t.live()) == [(1, "a", 1, 1)]
 
 
+def test_values_follow_their_change(spark, tmp_path, collected):
+    schema = SCHEMA + ", value string"
+    rows = [(1, "a", 1, 1, True, "old"), (1, "a", 1, 2, True, None), (1, "a", 1, 2, True, ""), (1, "b", 1, 3, False, "x"), (1, "b", 1, 2, True, "y"), (1, "c", 1, 1, True, None)]
+    t = changes.ChangeTable(spark, f"file://{tmp_path}/t", values=True)
+    for r in (rows[3:], rows[:3], rows):
+        t.apply(spark.createDataFrame(r, schema), buckets=2)
+    assert collected(t.live()) == [(1, "a", 1, 2, ""), (1, "c", 1, 1, None)]
+
+
+def test_follow_a_stream(spark, tmp_path, collected):
+    path, t = f"file://{tmp_path}/feed", changes.ChangeTable(spark, f"file://{tmp_path}/t")
+    for part in ([(1, "a", 1, 2, False)], [(1, "a", 1, 1, True), (1, "b", 1, 3, True)]):
+        spark.createDataFrame(part, SCHEMA).coalesce(1).write.mode("append").parquet(path)
+        t.follow(spark.readStream.schema(SCHEMA).parquet(path), f"file://{tmp_path}/cp")
+    assert collected(t.live()) == [(1, "b", 1, 3)]
+
+
 def test_op_words(spark):
     df = spark.createDataFrame([(w,) for w in ["PUT", " put ", "Put", "0", "DELETE", "del", "1", "", None, "PUT?", "NOOP"]], "op string")
     assert [r[0] for r in df.select(changes.is_put(F.col("op"))).collect()] == [True] * 4 + [False] * 3 + [None] * 4
