@@ -33,12 +33,12 @@ VALUE = ", value string"
 PUT_WORDS = ("PUT", "0")
 DELETE_WORDS = ("DELETE", "DEL", "1")
 
-#: Rows of state a split's table may hold before it is passed on; bounds a worker's memory.
-SPLIT_ROWS = 400_000
-#: Rows upserted at once.
-STEP_ROWS = 60_000
-#: Changes aimed at per bucket.
-BUCKET_ROWS = 300_000
+#: Rows and bytes of changes after which a split's table is passed on; bounds a worker's memory.
+SPLIT_ROWS, SPLIT_BYTES = 400_000, 192 << 20
+#: Rows and bytes upserted at once.
+STEP_ROWS, STEP_BYTES = 60_000, 32 << 20
+#: Changes, and bytes of values, aimed at per bucket.
+BUCKET_ROWS, BUCKET_BYTES = 300_000, 128 << 20
 
 
 def is_put(op: Column) -> Column:
@@ -98,17 +98,20 @@ def _upserter(split_rows: int | None, values: bool):
     """Arrow batches of changes to batches of state; passes state on early beyond ``split_rows``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, held, n = _Table(values), [], 0
+        table, held, n, size, taken = _Table(values), [], 0, 0, 0
         try:
             for b in batches:
                 held.append(b)
                 n += b.num_rows
-                if n >= STEP_ROWS:
+                size += b.nbytes
+                if n >= STEP_ROWS or size >= STEP_BYTES:
                     table.upsert(pa.Table.from_batches(held))
-                    held, n = [], 0
-                    if split_rows and table.rows > split_rows:
+                    taken += size
+                    held, n, size = [], 0, 0
+                    if split_rows and (table.rows > split_rows or taken > SPLIT_BYTES):
                         yield from table.export()
                         table.clear()
+                        taken = 0
             if n:
                 table.upsert(pa.Table.from_batches(held))
             if table.rows:
@@ -167,7 +170,7 @@ class ChangeTable:
         """Apply changes and publish; returns the new version's name.
 
         ``buckets`` counts for the first call only; its default is one per BUCKET_ROWS changes,
-        counted from file footers where the source has them.
+        counted from file footers where the source has them, or per BUCKET_BYTES of values.
         """
         import uuid
 
@@ -181,6 +184,9 @@ class ChangeTable:
             fed = self._read(at).unionByName(fed)
         elif buckets is None:
             buckets = max(int(self.spark.conf.get("spark.sql.shuffle.partitions")), -(-fed.count() // BUCKET_ROWS))
+            if self.values:
+                size = fed.agg(F.sum(F.octet_length("value"))).first()[0] or 0
+                buckets = max(buckets, -(-size // BUCKET_BYTES))
         version = f"version-{uuid.uuid4().hex[:12]}"
         resolve(fed, buckets, self.values).write.partitionBy("bucket").parquet(f"{self.path}/{version}")
         written = [n[7:] for n in list_names(self.spark, f"{self.path}/{version}") if n.startswith("bucket=")]

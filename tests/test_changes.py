@@ -80,6 +80,15 @@ def test_follow_a_stream(spark, tmp_path, collected):
     assert collected(t.live()) == [(1, "b", 1, 3)]
 
 
+def test_large_values_are_passed_on_early(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(changes, "STEP_BYTES", 1 << 16)
+    monkeypatch.setattr(changes, "SPLIT_BYTES", 1 << 18)
+    df = spark.range(600).select(F.lit(1).alias("store_id"), (F.col("id") % 200).cast("string").alias("key"), F.lit(1).alias("wal_gen"), F.col("id").alias("seq"), F.lit(True).alias("is_put"), F.repeat(F.lit("v"), 20_000).alias("value"))
+    t = changes.ChangeTable(spark, f"file://{tmp_path}/t", values=True)
+    t.apply(df)
+    assert t.live().where("seq >= 400 and length(value) = 20000").count() == 200
+
+
 def test_op_words(spark):
     df = spark.createDataFrame([(w,) for w in ["PUT", " put ", "Put", "0", "DELETE", "del", "1", "", None, "PUT?", "NOOP"]], "op string")
     assert [r[0] for r in df.select(changes.is_put(F.col("op"))).collect()] == [True] * 4 + [False] * 3 + [None] * 4
