@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -38,22 +36,24 @@ def sha_hash(key: Column) -> Column:
     return _signed(F.conv(F.substring(F.sha2(key, 256), 1, 8), 16, 10).cast("long"))
 
 
-def fnv_hash(key: Column) -> Column:
-    """FNV-1a over signed bytes, 32 bits, signed. Null for a null key."""
-    return _signed(F.aggregate(_bytes(key), F.lit(FNV_OFFSET).cast("long"), lambda h, b: h.bitwiseXOR(b).bitwiseAND(F.lit(_MASK)) * F.lit(FNV_PRIME) % F.lit(4294967296)))
+def _fnv_step(h: Column, b: Column) -> Column:
+    return h.bitwiseXOR(b).bitwiseAND(F.lit(_MASK)) * F.lit(FNV_PRIME) % F.lit(4294967296)
 
 
-def mix_hash(key: Column) -> Column:
-    """Multiply-and-shift hash over signed bytes, 32 bits, signed. Null for a null key.
+def _mix_step(h: Column, b: Column) -> Column:
+    """A 32-bit value times the multiplier stays below 2**63."""
+    t = (h.bitwiseXOR(b).bitwiseAND(F.lit(_MASK)) * F.lit(MIX_MULTIPLIER)).bitwiseAND(F.lit(_MASK))
+    return t.bitwiseXOR(F.shiftright(t, 15))
+
 
-    A 32-bit value times the multiplier stays below 2**63.
-    """
+def fnv_hash(key: Column) -> Column:
+    """FNV-1a over signed bytes, 32 bits, signed. Null for a null key."""
+    return _signed(F.aggregate(_bytes(key), F.lit(FNV_OFFSET).cast("long"), _fnv_step))
 
-    def step(h: Column, b: Column) -> Column:
-        t = (h.bitwiseXOR(b).bitwiseAND(F.lit(_MASK)) * F.lit(MIX_MULTIPLIER)).bitwiseAND(F.lit(_MASK))
-        return t.bitwiseXOR(F.shiftright(t, 15))
 
-    return _signed(F.aggregate(_bytes(key), F.lit(MIX_SEED).cast("long"), step))
+def mix_hash(key: Column) -> Column:
+    """Multiply-and-shift hash over signed bytes, 32 bits, signed. Null for a null key."""
+    return _signed(F.aggregate(_bytes(key), F.lit(MIX_SEED).cast("long"), _mix_step))
 
 
 def bit_position(h: Column, bits: int = FILTER_BITS) -> Column:
@@ -62,9 +62,12 @@ def bit_position(h: Column, bits: int = FILTER_BITS) -> Column:
 
 
 def bit_positions(key: Column, bits: int = FILTER_BITS) -> Column:
-    """The three filter bits of a key as an array."""
-    return F.array(*(bit_position(f(key), bits) for f in (sha_hash, mix_hash, fnv_hash)))
-
-
-def all_of(*conditions: Column) -> Column:
-    return reduce(lambda a, b: a & b, conditions)
+    """The three filter bits of a key as an array. Both byte-wise hashes are folded in one pass. Null for a null key."""
+    start = F.struct(F.lit(MIX_SEED).cast("long").alias("m"), F.lit(FNV_OFFSET).cast("long").alias("f"))
+    both = F.aggregate(
+        _bytes(key),
+        start,
+        lambda h, b: F.struct(_mix_step(h["m"], b).alias("m"), _fnv_step(h["f"], b).alias("f")),
+        lambda h: F.array(bit_position(_signed(h["m"]), bits), bit_position(_signed(h["f"]), bits)),
+    )
+    return F.concat(F.array(bit_position(sha_hash(key), bits)), both)

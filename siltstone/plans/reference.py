@@ -187,6 +187,13 @@ _hash_query("bloom_fnv", fnv_hash)
 _hash_query("bloom_mur", mix_hash)
 
 
+def _run_files(s, d):
+    """Runs are files: written once, read by every part of a query."""
+    path = work_dir(s, "runs")
+    _runs(s, d).write.parquet(path)
+    return s.read.parquet(path)
+
+
 @query
 def bloom_build(s, d):
     return probe.filter_bits(_runs(s, d))
@@ -199,7 +206,7 @@ def _next_keys(r):
 
 @query
 def bloom_probe(s, d):
-    r = _runs(s, d)
+    r = _run_files(s, d)
     return probe.probe_filters(_next_keys(r), probe.filter_bits(r))
 
 
@@ -216,9 +223,7 @@ def index_floor(s, d):
 
 @query
 def run_probe(s, d):
-    path = work_dir(s, "runs")
-    _runs(s, d).write.parquet(path)  # runs are files; all parts of the read path read them
-    r = s.read.parquet(path)
+    r = _run_files(s, d)
     return probe.point_reads(_next_keys(r), r, probe.filter_bits(r), probe.sparse_index(r))
 
 
