@@ -54,7 +54,9 @@ ITEM_GAP, DOC_GAP = 6, 12
 #: Times the median phrase's count from which an item's first phrase begins a formula.
 FORMULA = 8
 #: Least share of matched words, and of matched weight in short and in long passages.
-DENSITY, WEIGHT, WEIGHT_LONG, LONG = 0.7, 0.87, 0.68, 30
+DENSITY, WEIGHT, WEIGHT_LONG, LONG = 0.7, 0.82, 0.68, 30
+#: Single words that a passage may gain at either end beyond its outer runs, and words that may be left out before each.
+EDGE_WORDS, EDGE_GAP = 3, 2
 
 _BRACKETS = re.compile(r"\([^()]{0,120}\)|\[[^\[\]]{0,120}\]|[–—]\s[^\W\d_]+(?:\s[^\W\d_]+){0,2}\s[–—]|<[^<>]{0,300}>")
 _HYPHEN = re.compile(r"(?<=[^\W\d_])[-‐­]\s*\n\s*(?=[^\W\d_])")
@@ -224,11 +226,13 @@ class Searcher:
         self.items = items
         self.rare = np.zeros(len(four), dtype=bool)
         self.weights: list[np.ndarray] = []
+        self.skip: list[int] = []
         self.three_at: list[dict[int, list[int]]] = []
         for k, t in enumerate(items.texts):
             at = np.flatnonzero(items.item == k)
             f = four[at]
             skip = self._formula(f, items.ends[k])
+            self.skip.append(skip)
             for j in range(len(at)):
                 near = f[max(0, j - 10) : j + 11]
                 self.rare[at[j]] = j >= skip and f[j] <= np.median(near)
@@ -289,6 +293,26 @@ class Searcher:
             a, b = first[g], last[g]
             yield int(doc[a]), int(item[a]), int(pos[a]), int(pos[b - 1])
 
+    def _edge(self, k: int, text: np.ndarray, p: int, q: int, step: int) -> tuple[list[int], int]:
+        """Item places matched singly beyond the end of a run, going by ``step`` from (p, q), and the last document place."""
+        item, least = self.items.texts[k], self.skip[k]
+        got: list[int] = []
+        last = q - step
+        while len(got) < EDGE_WORDS:
+            for dp in range(EDGE_GAP + 1):
+                at = p + step * dp
+                if not least <= at < len(item):
+                    continue
+                dq = next((d for d in range(EDGE_GAP + 1) if 0 <= q + step * d < len(text) and text[q + step * d] == item[at]), None)
+                if dq is not None:
+                    break
+            else:
+                return got, last
+            last = q + step * dq
+            got.append(at)
+            p, q = at + step, last + step
+        return got, last
+
     def align(self, k: int, text: np.ndarray) -> tuple[int, int, int, int] | None:
         """Best reported passage of item k in a stretch of document symbols: (item from, to, document from, to), or None."""
         if len(text) < 3:
@@ -329,21 +353,28 @@ class Searcher:
                 path.append(runs[y])
                 y = best[y][1]
             path.reverse()
-            if path[-1][0] + path[-1][2] - path[0][0] < MIN_WORDS:
+            reach = EDGE_WORDS * (EDGE_GAP + 1)
+            if path[-1][0] + path[-1][2] - path[0][0] + 2 * reach < MIN_WORDS:
                 continue
             for a in range(len(path)):
-                matched, weight, upper = 0, 0.0, path[a][0]
+                before, first_q = self._edge(k, text, path[a][0] - 1, path[a][1] - 1, -1)
+                lower = before[-1] if before else path[a][0]
+                matched, weight, upper = len(before), float(sum(w[j] for j in before)), path[a][0]
                 for p, q, n in path[a:]:
                     low = max(p, upper)
                     if p + n > low:
                         matched += p + n - low
                         weight += upto[p + n] - upto[low]
                         upper = p + n
-                    span = upper - path[a][0]
-                    if span < MIN_WORDS or matched < DENSITY * span or (found and span <= found[1] - found[0]):
+                    if upper - lower + reach < MIN_WORDS:
+                        continue
+                    after, last_q = self._edge(k, text, upper, q + n, 1)
+                    high = after[-1] + 1 if after else upper
+                    span = high - lower
+                    if span < MIN_WORDS or matched + len(after) < DENSITY * span or (found and span <= found[1] - found[0]):
                         continue
-                    if weight >= (WEIGHT if span < LONG else WEIGHT_LONG) * (upto[upper] - upto[path[a][0]]):
-                        found = (path[a][0], upper, path[a][1], q + n)
+                    if weight + sum(w[j] for j in after) >= (WEIGHT if span < LONG else WEIGHT_LONG) * (upto[high] - upto[lower]):
+                        found = (lower, high, first_q, last_q + 1)
         return found
 
 

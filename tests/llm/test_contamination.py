@@ -63,7 +63,8 @@ def test_found_and_not_found(spark, tmp_path, corpus):
         assert r.item_to - r.item_from >= c.MIN_WORDS
     whole = next(r for r in found if r.item_id == 5)
     words = c.words(docs[whole.doc_id])
-    assert words[whole.doc_from : whole.doc_from + 3] == c.words(items[5])[whole.item_from : whole.item_from + 3]
+    assert words[whole.doc_from] == c.words(items[5])[whole.item_from]
+    assert words[whole.doc_to - 1] == c.words(items[5])[whole.item_to - 1]
 
 
 def test_shards_and_blocks_change_nothing(spark, tmp_path, corpus):
@@ -102,6 +103,21 @@ def test_documents_longer_than_a_shard(spark, tmp_path):
         assert [(x.doc_id, x.item_id, x.item_from, x.item_to, x.doc_from, x.doc_to) for x in got] == [(1, 7, 0, 40, 900, 940)]
 
 
+@pytest.mark.parametrize("length, found", [(10, False), (14, False), (22, True), (30, True)])
+def test_length_of_passages(spark, tmp_path, length, found):
+    r = random.Random(length)
+    items = {i: prose(r, 60) for i in range(1, 9)}
+    docs = []
+    for n in range(60):
+        i = r.choice(list(items))
+        at = r.randint(0, 60 - length)
+        docs.append((n, " ".join([*prose(r, 40), *items[i][at : at + length], *prose(r, 40)]), i))
+    d = spark.createDataFrame([x[:2] for x in docs], "doc_id long, text string")
+    i = spark.createDataFrame([(k, " ".join(v)) for k, v in items.items()], "item_id long, text string")
+    got = {(x.doc_id, x.item_id) for x in c.leaks(d, i, f"file://{tmp_path}/a").collect()}
+    assert got == ({(n, k) for n, _, k in docs} if found else set())
+
+
 def test_empty_sides(spark, tmp_path):
     d = spark.createDataFrame([], "doc_id long, text string")
     i = spark.createDataFrame([(1, " ".join(WORDS[:40]))], "item_id long, text string")
