@@ -4,7 +4,8 @@ The stream source discovers each file once and notes it in its checkpoint; every
 written to a folder named by its batch number, in overwrite mode, so a retry replaces what a failed
 attempt left. A record is the triple (store_id, run_id, key): repeated rows and copies in other
 files of the batch are reduced to one, and records that earlier batches hold are left out.
-A commit marker per batch makes it visible. Files are sorted by (store_id, run_id, key).
+A manifest, switched by one rename, says which folders hold the data. Files are sorted by
+(store_id, run_id, key). Where batches themselves are small, ``settle`` brings them together.
 
 Defined results: among copies of a record the one with the least (file_id, offset, value) is kept.
 Rows with a null store_id, run_id or key name no record and are dropped. No input gives no batches
@@ -17,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltstone.session import hadoop_path, list_names, write_text
+from siltstone.session import delete_path, hadoop_path, list_names, publish, published
 
 RECORD = ("store_id", "run_id", "key")
 #: Rows aimed at per output file.
@@ -39,26 +40,62 @@ class Compactor:
         self.spark, self.source, self.target, self.schema = spark, source, target, schema
         self.files_per_batch, self.file_rows = files_per_batch, file_rows
 
-    def _folder(self, batch: int) -> str:
-        return f"{self.target}/data/batch={batch:010d}"
+    def _parts(self) -> dict[str, dict]:
+        """Committed batches: number -> folder and its rows."""
+        now = published(self.spark, self.target)
+        return now["parts"] if now else {}
 
-    def committed(self) -> list[int]:
-        return [int(n) for n in list_names(self.spark, f"{self.target}/commits") if n.isdigit()]
+    def _publish(self, parts: dict[str, dict]) -> None:
+        publish(self.spark, self.target, str(len(parts)), parts=parts)
+
+    def _read(self, parts: dict[str, dict]) -> DataFrame:
+        folders = sorted({p["folder"] for p in parts.values()})
+        return self.spark.read.schema(self.schema).parquet(*(f"{self.target}/data/{f}" for f in folders))
+
+    def _save(self, df: DataFrame, rows: int, folder: str) -> None:
+        # an exchange even for one file, so that the step before it keeps its tasks
+        n = max(1, -(-rows // self.file_rows))
+        df.repartitionByRange(n, *RECORD).sortWithinPartitions(*RECORD).write.mode("overwrite").parquet(f"{self.target}/data/{folder}")
 
     def _write(self, df: DataFrame, batch: int) -> None:
+        parts, me = self._parts(), str(batch)
+        if me in parts:
+            if sum(p["folder"] == parts[me]["folder"] for p in parts.values()) > 1:
+                return  # a repeated batch that has been brought together with others already
+            del parts[me]
+            self._publish(parts)  # out of sight while it is replaced
         rows = df.count()  # from file footers
-        if rows:
-            fresh = _one_each(df)
-            earlier = [b for b in self.committed() if b < batch]  # the same for every attempt of this batch
-            if earlier:
-                # copies lie in the same run; files are sorted by run, so the range skips most of what is held
-                low, high = df.agg(F.min("run_id"), F.max("run_id")).first()
-                held = self.spark.read.schema(self.schema).parquet(*(self._folder(b) for b in earlier)).select(*RECORD).where(F.col("run_id").between(low, high))
-                fresh = fresh.join(held, list(RECORD), "left_anti")
-            n = max(1, -(-rows // self.file_rows))
-            # an exchange even for one file, so that the step before it keeps its tasks
-            fresh.repartitionByRange(n, *RECORD).sortWithinPartitions(*RECORD).write.mode("overwrite").parquet(self._folder(batch))
-            write_text(self.spark, f"{self.target}/commits/{batch:010d}", str(rows))
+        if not rows:
+            return
+        fresh = _one_each(df)
+        earlier = {b: p for b, p in parts.items() if int(b) < batch}  # the same for every attempt of this batch
+        if earlier:
+            # copies lie in the same run; files are sorted by run, so the range skips most of what is held
+            low, high = df.agg(F.min("run_id"), F.max("run_id")).first()
+            held = self._read(earlier).select(*RECORD).where(F.col("run_id").between(low, high))
+            fresh = fresh.join(held, list(RECORD), "left_anti")
+        folder = f"batch={batch:010d}"
+        self._save(fresh, rows, folder)
+        self._publish({**parts, me: {"folder": folder, "rows": rows}})
+
+    def settle(self) -> None:
+        """Bring folders of less than half a file together; their records are distinct already."""
+        parts = self._parts()
+        small = {b: p for b, p in parts.items() if p["rows"] < self.file_rows / 2}
+        if len({p["folder"] for p in small.values()}) < 2:
+            return
+        order = sorted(map(int, small))
+        rows = sum({p["folder"]: p["rows"] for p in small.values()}.values())
+        folder = f"merged={order[0]:010d}-{order[-1]:010d}-{len(order)}"
+        self._save(self._read(small), rows, folder)
+        self._publish({**parts, **dict.fromkeys(small, {"folder": folder, "rows": rows})})
+
+    def vacuum(self) -> None:
+        """Remove folders that the manifest no longer names."""
+        kept = {p["folder"] for p in self._parts().values()}
+        for name in list_names(self.spark, f"{self.target}/data"):
+            if name not in kept:
+                delete_path(self.spark, f"{self.target}/data/{name}")
 
     def run(self) -> None:
         fs, p = hadoop_path(self.spark, self.source)
@@ -73,19 +110,16 @@ class Compactor:
 
     def records(self) -> DataFrame:
         """The consolidated records of all committed batches."""
-        done = self.committed()
-        if not done:
-            return self.spark.createDataFrame([], self.schema)
-        return self.spark.read.schema(self.schema).parquet(*(self._folder(b) for b in done))
+        parts = self._parts()
+        return self._read(parts) if parts else self.spark.createDataFrame([], self.schema)
 
     def locations(self) -> DataFrame:
         """Where each record lies now: store_id, run_id, key, data_file, row_in_file."""
-        done = self.committed()
-        if not done:
+        parts = self._parts()
+        if not parts:
             return self.spark.createDataFrame([], "store_id int, run_id long, key string, data_file string, row_in_file long")
-        df = self.spark.read.schema(self.schema).parquet(*(self._folder(b) for b in done))
         file = F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+/[^/]+)$", 1)
-        return df.select(*RECORD, file.alias("data_file"), F.col("_metadata.row_index").alias("row_in_file"))
+        return self._read(parts).select(*RECORD, file.alias("data_file"), F.col("_metadata.row_index").alias("row_in_file"))
 
 
 def catalogue(files: DataFrame, records: DataFrame) -> DataFrame:

@@ -1,6 +1,6 @@
 import os
 
-from siltstone.session import read_text
+from siltstone.session import published
 from siltstone.streaming.compactor import Compactor, remap_index
 
 SCHEMA = "store_id int, run_id long, key string, value string, file_id long, offset long"
@@ -41,7 +41,24 @@ def test_retry_replaces_a_batch(spark, tmp_path, collected):
     c._write(df, 0)
     c._write(df, 0)
     assert c.records().count() == 1
-    assert read_text(spark, f"file://{tmp_path}/out/commits/0000000000") == "1"
+    assert list(published(spark, c.target)["parts"]) == ["0"]
+
+
+def test_small_batches_settle_into_one(spark, tmp_path, collected):
+    c = compactor(spark, tmp_path, files_per_batch=1)
+    for i in range(4):
+        write(spark, [(1, i, f"k{j}", "v", i, j) for j in range(5)] + [(1, 0, "k0", "v", i + 50, 0)], f"file://{tmp_path}/in")
+    c.run()
+    before = collected(c.records())
+    assert len(before) == 20 and len({p["folder"] for p in c._parts().values()}) == 4
+    c.settle()
+    c.vacuum()
+    assert collected(c.records()) == before and len(os.listdir(tmp_path / "out" / "data")) == 1
+    c._write(spark.createDataFrame([(1, 0, "k0", "v", 50, 0)], SCHEMA), 0)  # repeated after it was settled
+    assert collected(c.records()) == before
+    write(spark, [(1, 0, "k0", "v", 90, 0), (1, 9, "new", "v", 90, 1)], f"file://{tmp_path}/in")
+    c.run()
+    assert c.records().count() == 21
 
 
 def test_empty_source_and_few_files(spark, tmp_path):
