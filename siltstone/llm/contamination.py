@@ -330,11 +330,16 @@ class Searcher:
             while (p + n - 2, q + n - 2) in known:
                 n += 1
             runs.append((p, q, n))
+        # in the order of the document, so that a run looks back over its neighbourhood only
+        runs.sort(key=lambda r: (r[1], r[0]))
+        longest = max(n for *_, n in runs)
         best: list[tuple[float, int]] = []
         for x, (p, q, n) in enumerate(runs):
             top = (float(n), -1)
             for y in range(x - 1, -1, -1):
                 p0, q0, n0 = runs[y]
+                if q - q0 > longest + DOC_GAP:
+                    break
                 over = max(0, p0 + n0 - p, q0 + n0 - q)
                 if p0 < p and q0 < q and over < n and p - p0 - n0 <= ITEM_GAP and q - q0 - n0 <= DOC_GAP:
                     v = best[y][0] + n - over - 0.3 * max(0, p - p0 - n0) - 0.1 * max(0, q - q0 - n0)

@@ -125,6 +125,21 @@ def test_empty_sides(spark, tmp_path):
     assert c.leaks(d, i.limit(0), f"file://{tmp_path}/b").count() == 0
 
 
+def test_time_is_linear_in_repeats():
+    import time
+
+    import numpy as np
+
+    r = random.Random(3)
+    item = prose(r, 60)
+    block = c.ItemSet([(1, item, [60])])
+    s = c.Searcher(block, np.ones(57, dtype=np.int64), np.ones(57, dtype=np.int64))
+    text = np.array([block.symbol[w] for w in item * 1000], dtype=np.uint16)
+    t = time.perf_counter()
+    assert s.align(0, text)[:2] == (0, 60)
+    assert time.perf_counter() - t < 20
+
+
 def test_removal_spans_are_merged(spark):
     df = spark.createDataFrame([(1, 0, 10), (1, 5, 20), (1, 20, 30), (1, 40, 50), (2, 3, 9)], "doc_id long, doc_from int, doc_to int")
     assert sorted(map(tuple, c.removal_spans(df).collect())) == [(1, 0, 30), (1, 40, 50), (2, 3, 9)]
