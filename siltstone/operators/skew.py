@@ -50,4 +50,6 @@ def heavy_keys(summary: DataFrame, totals: DataFrame, share: float, by: str = "t
 
     ``totals`` has one row per table with its number of rows, ``total``, null keys included.
     """
-    return summary.join(F.broadcast(totals), by).where(F.col("key").isNotNull() & (F.col("n") >= F.col("total") * F.lit(share)))
+    # decimal, so that a key with just the share counts
+    least = F.col("total").cast("decimal(20,0)") * F.lit(str(share)).cast("decimal(12,9)")
+    return summary.join(F.broadcast(totals), by).where(F.col("key").isNotNull() & (F.col("n").cast("decimal(20,0)") >= least))

@@ -40,3 +40,7 @@ def test_heavy_keys_counts_null_keys_in_the_total(spark):
     s = spark.createDataFrame([("t", "a", 2), ("t", "b", 1), ("t", None, 97)], "table_name string, key string, n long")
     totals = spark.createDataFrame([("t", 100)], "table_name string, total long")
     assert [r.key for r in skew.heavy_keys(s, totals, 0.02).collect()] == ["a"]
+    for n in range(1, 60):  # just the share, whatever the number
+        one = spark.createDataFrame([("t", "a", n), ("t", "b", n - 1)], "table_name string, key string, n long")
+        if n % 10 in (1, 7):
+            assert [r.key for r in skew.heavy_keys(one, spark.createDataFrame([("t", 50 * n)], "table_name string, total long"), 0.02).collect()] == ["a"]
