@@ -314,13 +314,20 @@ class Searcher:
         return got, last
 
     def align(self, k: int, text: np.ndarray) -> tuple[int, int, int, int] | None:
-        """Best reported passage of item k in a stretch of document symbols: (item from, to, document from, to), or None."""
+        """Longest reported passage of item k in a stretch of document symbols: (item from, to, document from, to), or None."""
+        return max(self.passages(k, text), key=lambda s: s[1] - s[0], default=None)
+
+    def passages(self, k: int, text: np.ndarray) -> list[tuple[int, int, int, int]]:
+        """Reported passages of item k in a stretch of document symbols, in order: (item from, to, document from, to).
+
+        Left out are passages that lie in the document within others and span no more of the item than one before them.
+        """
         if len(text) < 3:
-            return None
+            return []
         where = self.three_at[k]
         hits = [(p, q) for q, key in enumerate(self._threes(text).tolist()) if key in where for p in where[key]]
         if not hits:
-            return None
+            return []
         known = set(hits)
         runs = []
         for p, q in sorted(hits):
@@ -348,7 +355,7 @@ class Searcher:
             best.append(top)
         w = self.weights[k]
         upto = np.r_[0.0, np.cumsum(w)]
-        found = None
+        found: set[tuple[int, int, int, int]] = set()
         ends = {y for _, y in best}
         for x in range(len(runs)):
             if x in ends:
@@ -362,6 +369,7 @@ class Searcher:
             if path[-1][0] + path[-1][2] - path[0][0] + 2 * reach < MIN_WORDS:
                 continue
             for a in range(len(path)):
+                longest_here = None
                 before, first_q = self._edge(k, text, path[a][0] - 1, path[a][1] - 1, -1)
                 lower = before[-1] if before else path[a][0]
                 matched, weight, upper = len(before), float(sum(w[j] for j in before)), path[a][0]
@@ -376,18 +384,35 @@ class Searcher:
                     after, last_q = self._edge(k, text, upper, q + n, 1)
                     high = after[-1] + 1 if after else upper
                     span = high - lower
-                    if span < MIN_WORDS or matched + len(after) < DENSITY * span or (found and span <= found[1] - found[0]):
+                    if span < MIN_WORDS or matched + len(after) < DENSITY * span:
                         continue
                     if weight + sum(w[j] for j in after) >= (WEIGHT if span < LONG else WEIGHT_LONG) * (upto[high] - upto[lower]):
-                        found = (lower, high, first_q, last_q + 1)
-        return found
+                        longest_here = (lower, high, first_q, last_q + 1)
+                if longest_here:
+                    found.add(longest_here)
+        kept, reach, longest = [], -1, 0
+        for s in sorted(found, key=lambda s: (s[2], -s[3], s[0] - s[1], s[0])):
+            if s[3] > reach or s[1] - s[0] > longest:
+                kept.append(s)
+                reach, longest = max(reach, s[3]), max(longest, s[1] - s[0])
+        return kept
 
 
 def leaks(
     documents: DataFrame, items: DataFrame, path: str, id_col: str = "doc_id", item_col: str = "item_id", text_col: str = "text", shard_words: int = SHARD_WORDS
 ) -> DataFrame:
-    """(doc_id, item_id, item_from, item_to, doc_from, doc_to): the longest passage per document and item, in word places.
+    """(doc_id, item_id, item_from, item_to, doc_from, doc_to): the longest passage per document and item, in word places."""
+    longest = F.max(F.struct((F.col("item_to") - F.col("item_from")).alias("n"), "item_from", "item_to", "doc_from", "doc_to"))
+    out = leaked_passages(documents, items, path, id_col, item_col, text_col, shard_words)
+    return out.groupBy("doc_id", "item_id").agg(longest.alias("p")).select("doc_id", "item_id", "p.item_from", "p.item_to", "p.doc_from", "p.doc_to")
+
+
+def leaked_passages(
+    documents: DataFrame, items: DataFrame, path: str, id_col: str = "doc_id", item_col: str = "item_id", text_col: str = "text", shard_words: int = SHARD_WORDS
+) -> DataFrame:
+    """(doc_id, item_id, item_from, item_to, doc_from, doc_to): every passage of an item in a document, in word places.
 
+    Pieces of a document and repeated rows may each show a passage or a part of it, so that rows may repeat and overlap.
     ``path`` is a folder all executors share; the shards' indexes are written there.
     """
     spark = documents.sparkSession
@@ -408,9 +433,8 @@ def leaks(
                     for d, k, first, last in s.candidates(FMIndex.load(fm), begin):
                         reach = len(s.items.texts[k]) + 4 * DOC_GAP
                         low, high = max(int(begin[d]), first - reach), min(int(begin[d + 1]) - 1, last + reach)
-                        got = s.align(k, symbols[low:high])
-                        if got:
-                            shift = low - int(begin[d]) + int(ahead[d])
+                        shift = low - int(begin[d]) + int(ahead[d])
+                        for got in s.passages(k, symbols[low:high]):
                             rows.append((int(ids[d]), int(s.items.ids[k]), got[0], got[1], got[2] + shift, got[3] + shift))
                     cols = list(zip(*rows)) or [()] * 6
                     kinds = [pa.int64(), pa.int64(), *[pa.int32()] * 4]
@@ -418,9 +442,7 @@ def leaks(
 
         found = shards.select("docs", "offsets", "starts", "text", "fm").mapInArrow(run, schema)
         out = out.unionByName(found) if number else found
-    # pieces of a document and repeated rows may each show a passage
-    longest = F.max(F.struct((F.col("item_to") - F.col("item_from")).alias("n"), "item_from", "item_to", "doc_from", "doc_to"))
-    return out.groupBy("doc_id", "item_id").agg(longest.alias("p")).select("doc_id", "item_id", "p.item_from", "p.item_to", "p.doc_from", "p.doc_to")
+    return out
 
 
 def removal_spans(found: DataFrame) -> DataFrame:

@@ -55,12 +55,12 @@ def p7_ids(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _leaks(spark: SparkSession, d: str) -> DataFrame:
-    return contamination.leaks(table(spark, d, "documents"), table(spark, d, "eval_item"), work_dir(spark, "leaks"))
+    return contamination.leaked_passages(table(spark, d, "documents"), table(spark, d, "eval_item"), work_dir(spark, "leaks"))
 
 
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
     """Documents and the items that leaked into them."""
-    return _leaks(spark, d).select("doc_id", "item_id")
+    return _leaks(spark, d).select("doc_id", "item_id").distinct()
 
 
 def p8_spans(spark: SparkSession, d: str) -> DataFrame:

@@ -145,6 +145,19 @@ def test_removal_spans_are_merged(spark):
     assert sorted(map(tuple, c.removal_spans(df).collect())) == [(1, 0, 30), (1, 40, 50), (2, 3, 9)]
 
 
+def test_every_passage_of_an_item_is_removed(spark, tmp_path):
+    r = random.Random(21)
+    item = prose(r, 100)
+    docs = [[*prose(r, 40), *item[:30], *prose(r, 60), *item[60:90], *prose(r, 40)], [*prose(r, 40), *item[20:50], *prose(r, 40), *item[20:50]], [*item[:40], *item[:40]]]
+    d = spark.createDataFrame([(k, " ".join(v)) for k, v in enumerate(docs)], "doc_id long, text string")
+    i = spark.createDataFrame([(1, " ".join(item))], "item_id long, text string")
+    got = c.removal_spans(c.leaked_passages(d, i, f"file://{tmp_path}/a")).collect()
+    marked = {(s.doc_id, q) for s in got for q in range(s.doc_from, s.doc_to)}
+    want = [(0, 40, 70), (0, 130, 160), (1, 40, 70), (1, 110, 140), (2, 0, 80)]
+    assert marked >= {(k, q) for k, a, b in want for q in range(a, b)}
+    assert len(marked) <= sum(b - a for _, a, b in want) + 18
+
+
 @pytest.mark.parametrize(
     "text, want",
     [
