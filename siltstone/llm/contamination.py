@@ -7,7 +7,7 @@
    occurs; the counts of all shards are added up.
 3. The counts tell phrases that speeches share from an item's own words. In every stretch of an
    item the rarer half of its four-word phrases are searched again and located.
-   A formula at an item's start, told by its counts, is left out.
+   A formula at an item's start, told by its counts without and with the item's next words, is left out.
 4. Where enough of an item's words are hit close together and in order, the two texts are aligned
    around the hits by their common three-word phrases. A passage is reported if it spans at least
    ``MIN_WORDS`` words of the item, most of them matched, and if the matched words hold most of the
@@ -51,7 +51,7 @@ _BORDER, _OTHER, _FIRST = 1, 2, 3
 STRETCH, COVERED = 30, 6
 #: Largest gaps between aligned runs, in words of the item and of the document.
 ITEM_GAP, DOC_GAP = 6, 12
-#: Times the median phrase's count from which an item's first phrase begins a formula.
+#: Times the counts of the median phrase and of the phrases that go on into the next words, from which an item's opening is a formula.
 FORMULA = 8
 #: Least share of matched words, and of matched weight in short and in long passages.
 DENSITY, WEIGHT, WEIGHT_LONG, LONG = 0.7, 0.82, 0.68, 30
@@ -253,9 +253,13 @@ class Searcher:
 
     @staticmethod
     def _formula(four: np.ndarray, ends: list[int]) -> int:
-        """Words of the whole sentences at an item's start all of whose phrases are far more frequent than the item's usual ones."""
-        least = FORMULA * max(1.0, float(np.median(four))) if len(four) else 0
-        whole = [e for e in ends if 4 <= e <= len(four) and four[: e - 3].min() >= least]
+        """Words of the whole sentences at an item's start that are a formula.
+
+        All phrases of a formula are far more frequent than the item's usual ones, and than the formula with the item's next
+        words: where an opening is copied, these are copied too. An opening of a passage's length is never taken for one.
+        """
+        usual = max(1.0, float(np.median(four))) if len(four) else 0
+        whole = [e for e in ends if 4 <= e <= len(four) and e < MIN_WORDS and four[: e - 3].min() >= FORMULA * max(usual, four[e - 3 : e].min())]
         return max(whole, default=0)
 
     @staticmethod

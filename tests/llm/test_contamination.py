@@ -158,6 +158,18 @@ def test_every_passage_of_an_item_is_removed(spark, tmp_path):
     assert len(marked) <= sum(b - a for _, a, b in want) + 18
 
 
+@pytest.mark.parametrize("opening, taken", [(24, 24), (24, 50), (12, 30)])
+def test_copied_openings_are_no_formula(spark, tmp_path, opening, taken):
+    r = random.Random(opening)
+    item = prose(r, 80)
+    docs = [(k, " ".join([*prose(r, 40), *(item[:taken] if k % 3 == 0 else []), *prose(r, 40)])) for k in range(60)]
+    d = spark.createDataFrame(docs, "doc_id long, text string")
+    i = spark.createDataFrame([(1, " ".join(item[:opening]) + ". " + " ".join(item[opening:]))], "item_id long, text string")
+    got = c.leaks(d, i, f"file://{tmp_path}/a").collect()
+    assert {x.doc_id for x in got} == {k for k in range(60) if k % 3 == 0}
+    assert all(x.item_from == 0 for x in got)
+
+
 @pytest.mark.parametrize(
     "text, want",
     [
