@@ -297,11 +297,10 @@ class Searcher:
             a, b = first[g], last[g]
             yield int(doc[a]), int(item[a]), int(pos[a]), int(pos[b - 1])
 
-    def _edge(self, k: int, text: np.ndarray, p: int, q: int, step: int) -> tuple[list[int], int]:
-        """Item places matched singly beyond the end of a run, going by ``step`` from (p, q), and the last document place."""
+    def _edge(self, k: int, text: np.ndarray, p: int, q: int, step: int) -> list[tuple[int, int]]:
+        """(item, document) places matched singly beyond the end of a run, going by ``step`` from (p, q)."""
         item, least = self.items.texts[k], self.skip[k]
-        got: list[int] = []
-        last = q - step
+        got: list[tuple[int, int]] = []
         while len(got) < EDGE_WORDS:
             for dp in range(EDGE_GAP + 1):
                 at = p + step * dp
@@ -311,11 +310,10 @@ class Searcher:
                 if dq is not None:
                     break
             else:
-                return got, last
-            last = q + step * dq
-            got.append(at)
-            p, q = at + step, last + step
-        return got, last
+                return got
+            got.append((at, q + step * dq))
+            p, q = at + step, q + step * (dq + 1)
+        return got
 
     def align(self, k: int, text: np.ndarray) -> tuple[int, int, int, int] | None:
         """Longest reported passage of item k in a stretch of document symbols: (item from, to, document from, to), or None."""
@@ -373,27 +371,30 @@ class Searcher:
             if path[-1][0] + path[-1][2] - path[0][0] + 2 * reach < MIN_WORDS:
                 continue
             for a in range(len(path)):
-                longest_here = None
-                before, first_q = self._edge(k, text, path[a][0] - 1, path[a][1] - 1, -1)
-                lower = before[-1] if before else path[a][0]
-                matched, weight, upper = len(before), float(sum(w[j] for j in before)), path[a][0]
+                p0, q0, _ = path[a]
+                before = self._edge(k, text, p0 - 1, q0 - 1, -1)
+                matched, weight, upper = 0, 0.0, p0
                 for p, q, n in path[a:]:
                     low = max(p, upper)
                     if p + n > low:
                         matched += p + n - low
                         weight += upto[p + n] - upto[low]
                         upper = p + n
-                    if upper - lower + reach < MIN_WORDS:
+                    if upper - p0 + 2 * reach < MIN_WORDS:
                         continue
-                    after, last_q = self._edge(k, text, upper, q + n, 1)
-                    high = after[-1] + 1 if after else upper
-                    span = high - lower
-                    if span < MIN_WORDS or matched + len(after) < DENSITY * span:
-                        continue
-                    if weight + sum(w[j] for j in after) >= (WEIGHT if span < LONG else WEIGHT_LONG) * (upto[high] - upto[lower]):
-                        longest_here = (lower, high, first_q, last_q + 1)
-                if longest_here:
-                    found.add(longest_here)
+                    after = self._edge(k, text, upper, q + n, 1)
+                    # a chance match may end either edge, so that a passage may hold any number of an edge's words
+                    for x0 in range(len(before), -1, -1):
+                        lower, first_q = before[x0 - 1] if x0 else (p0, q0)
+                        for x1 in range(len(after), -1, -1):
+                            high, last_q = (after[x1 - 1][0] + 1, after[x1 - 1][1] + 1) if x1 else (upper, q + n)
+                            span = high - lower
+                            if span < MIN_WORDS or matched + x0 + x1 < DENSITY * span:
+                                continue
+                            held = weight + sum(w[at] for at, _ in before[:x0]) + sum(w[at] for at, _ in after[:x1])
+                            if held >= (WEIGHT if span < LONG else WEIGHT_LONG) * (upto[high] - upto[lower]):
+                                found.add((lower, high, first_q, last_q))
+                                break  # fewer words of this edge span less
         kept, reach, longest = [], -1, 0
         for s in sorted(found, key=lambda s: (s[2], -s[3], s[0] - s[1], s[0])):
             if s[3] > reach or s[1] - s[0] > longest:

@@ -170,6 +170,23 @@ def test_copied_openings_are_no_formula(spark, tmp_path, opening, taken):
     assert all(x.item_from == 0 for x in got)
 
 
+@pytest.mark.parametrize("at_end", [False, True])
+def test_chance_words_beside_a_copied_passage(at_end):
+    import numpy as np
+
+    item = WORDS[:60]
+    block = c.ItemSet([(1, item, [60])])
+    counts = np.zeros(57, dtype=np.int64)
+    counts[20:37] = 100  # words 20 to 39 are much copied
+    s = c.Searcher(block, np.where(np.arange(57) < 37, counts, 0), counts)
+    other = [c._OTHER] * 30
+    passage = [block.symbol[w] for w in item[20:40]]
+    # one word of the item, two places off, stands beside the passage
+    text = [*other, *passage, block.symbol[item[42]], *other] if at_end else [*other, block.symbol[item[17]], *passage, *other]
+    got = s.align(0, np.array(text, dtype=np.uint16))
+    assert got is not None and got[0] <= 20 and got[1] >= 40
+
+
 @pytest.mark.parametrize(
     "text, want",
     [
