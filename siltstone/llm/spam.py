@@ -5,8 +5,8 @@ to a shape: its number of words (a class), how they are capitalised, which separ
 whether it is a link, and whether it is a sentence (it holds function words). Units are grouped
 by shape. A group that is no sentence counts as stuffing if it consists of links or product tags, or if its words
 keep coming back on the page; names in a roll call, rows of a table or entries of an order paper
-do not come back, and formulas and rhetorical repetition are sentences. A page is flagged if a
-few stuffed shapes make up more than half of its text.
+do not come back, and formulas and rhetorical repetition are sentences. A page is flagged if its
+stuffed shapes, however many, make up more than half of its text.
 
 Defined results: null, empty and blank texts, and texts without any unit, are not flagged. Repeated
 rows are judged each. Exactly half is not flagged. Very long texts are read whole, in linear time.
@@ -43,8 +43,8 @@ FUNCTION_WORDS = frozenset(
 
 #: A word comes back if the page's lists have it at least so often. RETURNING is the share of
 #: returning characters that makes a page's lists stuffing: votes, roll calls, order papers and
-#: tables stay below 0.6, as their names are many. FEW_SHAPES may dominate a page.
-RETURNS, RETURNING, FEW_SHAPES = 2, 0.63, 8
+#: tables stay below 0.6, as their names are many.
+RETURNS, RETURNING = 2, 0.63
 
 _TOKEN = re.compile(
     r"(?P<link>(?:https?://|www\.)[^\s)\"<>\]]+)|(?P<word>[^\W\d_]+(?:[-'’][^\W\d_]+)*)|(?P<tag><[^<>\n]*>|(?<!\w)[#@+][^\W\d_][\w-]*)|(?P<number>\d[\d.,]*%?)"
@@ -150,7 +150,7 @@ def shapes(text: str) -> list[tuple[tuple, int, list[str]]]:
 
 
 def stuffing(text: str | None) -> tuple[float, int]:
-    """Share of a text's characters in its few largest stuffed shapes, and the number of such shapes."""
+    """Share of a text's characters in its stuffed shapes, and the number of such shapes."""
     if not text or not text.strip():
         return 0.0, 0
     units = shapes(text)
@@ -177,8 +177,8 @@ def stuffing(text: str | None) -> tuple[float, int]:
     # words that run on without blanks are garbled, not a list
     written = len(text.split()) * 4 >= sum(count.values())
     kinds = {"link", "list"} if length and written and returning >= RETURNING * length else {"link"}
-    stuffed = sorted((n for kind, n in by_shape.items() if kind[0] in kinds), reverse=True)
-    return sum(stuffed[:FEW_SHAPES]) / total, len(stuffed)
+    stuffed = [n for kind, n in by_shape.items() if kind[0] in kinds]
+    return sum(stuffed) / total, len(stuffed)
 
 
 def score_pages(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

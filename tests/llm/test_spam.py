@@ -63,3 +63,13 @@ def test_time_is_linear():
     t = time.perf_counter()
     spam.stuffing(SPEECH * 2000 + SPAM["blob"] * 500)
     assert time.perf_counter() - t < 30
+
+
+def test_keyword_lists_of_many_shapes_are_all_counted():
+    lines = []
+    for n in (1, 2, 4, 7, 13):
+        words = [("cheap", "watches", "outlet", "replica")[k % 4] for k in range(n)]
+        for number in ("", " 24"):
+            lines += [f"{separator} ".join(case(w) for w in words) + separator + number for separator in (",", ";", "|", "/") for case in (str.lower, str.title)]
+    share, shapes = spam.stuffing("\n".join(lines))
+    assert shapes > 16 and share > 0.9
