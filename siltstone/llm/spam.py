@@ -89,7 +89,7 @@ def shapes(text: str) -> list[tuple[tuple, int, list[str]]]:
     out: list[tuple[tuple, int, list[str]]] = []
     unit = _Unit()
     words: list[tuple[str, int, int]] = []
-    # entries of a numbered list are records, as in an order paper
+    # entries of a numbered list are records, as in an order paper, unless their words keep coming back
     numbered, first = False, True
 
     def close() -> None:
@@ -168,15 +168,23 @@ def stuffing(text: str | None) -> tuple[float, int]:
     total = sum(n for _, n, _ in merged)
     if not total:
         return 0.0, 0
-    count = Counter(w for k, _, ws in merged if k[0] == "list" for w in ws)
     by_shape: dict[tuple, int] = {}
     for kind, n, _ in merged:
         by_shape[kind] = by_shape.get(kind, 0) + n
-    length = sum(len(w) * n for w, n in count.items())
-    returning = sum(len(w) * n for w, n in count.items() if n >= RETURNS)
-    # words that run on without blanks are garbled, not a list
-    written = len(text.split()) * 4 >= sum(count.values())
-    kinds = {"link", "list"} if length and written and returning >= RETURNING * length else {"link"}
+    # numbered entries are judged alone, and their words return by whole entries: one of an order paper has a name of its own
+    kinds = {"link"}
+    for listed in ("list", "record"):
+        entries = [ws for k, _, ws in merged if k[0] == listed]
+        count = Counter(w for ws in entries for w in ws)
+        length = sum(len(w) * n for w, n in count.items())
+        if listed == "list":
+            returning = sum(len(w) * n for w, n in count.items() if n >= RETURNS)
+        else:
+            returning = sum(len(w) for ws in entries if all(count[w] >= RETURNS for w in ws) for w in ws)
+        # words that run on without blanks are garbled, not a list
+        written = len(text.split()) * 4 >= sum(count.values())
+        if length and written and returning >= RETURNING * length:
+            kinds.add(listed)
     stuffed = [n for kind, n in by_shape.items() if kind[0] in kinds]
     return sum(stuffed) / total, len(stuffed)
 

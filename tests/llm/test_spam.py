@@ -73,3 +73,13 @@ def test_keyword_lists_of_many_shapes_are_all_counted():
             lines += [f"{separator} ".join(case(w) for w in words) + separator + number for separator in (",", ";", "|", "/") for case in (str.lower, str.title)]
     share, shapes = spam.stuffing("\n".join(lines))
     assert shapes > 16 and share > 0.9
+
+
+def test_numbered_keywords_are_no_records():
+    keywords = ("cheap watches outlet", "replica watches sale", "cheap replica outlet")
+    assert spam.stuffing("\n".join(f"{k}. {keywords[k % 3]}" for k in range(1, 31)))[0] > 0.9
+    assert spam.stuffing("1) " + ", ".join(keywords * 20))[0] > 0.9
+    names = [f"{a}{b}" for a in ("Bal", "Kor", "Min", "Tes", "Vul", "Zan") for b in ("dorf", "heim", "stad", "vik", "wald")]
+    paper = "\n".join(f"{k}. {n} Bridge {names[-k]}" for k, n in enumerate(names[:15], 1))
+    assert spam.stuffing(paper)[0] == 0
+    assert spam.stuffing(paper + "\n" + "cheap watches outlet, " * 5)[0] < 0.5
