@@ -5,11 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 
 
-def spread(df: DataFrame) -> DataFrame:
+def spread(df: DataFrame, tasks: int | None = None) -> DataFrame:
     """Give a narrow, CPU-heavy step enough tasks.
 
-    Inputs with at least one split a core are left alone; only a smaller number of splits is
-    redistributed, round robin, so no key can pile up.
+    A scan makes at least one split a core once every core has a file's opening cost to read; only smaller inputs
+    are redistributed, round robin, so no key can pile up. The size is the plan's own estimate: nothing is run for it.
+    ``tasks`` sets the number instead.
     """
+    if tasks:
+        return df.repartition(tasks)
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+    opening = df.sparkSession._jsparkSession.sessionState().conf().filesOpenCostInBytes()
+    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+    return df if int(size) >= cores * opening else df.repartition(cores)

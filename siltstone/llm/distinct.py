@@ -57,19 +57,24 @@ def count_where(totals: DataFrame, condition: Column) -> DataFrame:
 def count_by(totals: DataFrame, *groupings: tuple[str, ...]) -> DataFrame:
     """Distinct identifiers of every group of each grouping: day, store_id, level (null where not grouped), grouping, n.
 
-    Within a pattern the groups of a grouping are made distinct, so an identifier counts once in each.
+    Within a pattern the groups of a grouping are made distinct, so an identifier counts once in each. They are
+    compared as short texts, which a hash set tells apart in linear time; the groups of the full grouping
+    are distinct already.
     """
     kinds = {"day": "string", "store_id": "int", "level": "int"}
 
     def groups_of(s: tuple[str, ...]) -> Column:
-        def cut(g: Column) -> Column:
-            return F.struct(F.lit("+".join(s)).alias("grouping"), *(g[p].alias(p) if p in s else F.lit(None).cast(kinds[p]).alias(p) for p in PARTS))
+        def code(g: Column) -> Column:
+            # a part that is null is no text at all, and parts hold no blank
+            return F.concat_ws(" ", F.lit("+".join(s)), *(F.coalesce(g[p].cast("string"), F.lit("-")) if p in s else F.lit("*") for p in PARTS))
 
-        return F.array_distinct(F.transform("pattern", cut))
+        codes = F.transform("pattern", code)
+        return codes if set(s) == set(PARTS) else F.array_distinct(codes)
 
-    projected = [groups_of(s) for s in groupings]
-    each = totals.select("n", F.explode(F.concat(*projected)).alias("g"))
-    return each.groupBy("g.grouping", "g.day", "g.store_id", "g.level").agg(F.sum("n").alias("n"))
+    each = totals.select("n", F.explode(F.concat(*map(groups_of, groupings))).alias("code"))
+    part = F.split("code", " ")
+    named = [F.when(~part[i].isin("-", "*"), part[i]).cast(kinds[p]).alias(p) for i, p in enumerate(PARTS, 1)]
+    return each.groupBy("code").agg(F.sum("n").alias("n")).select(part[0].alias("grouping"), *named, "n")
 
 
 def jumps(totals: DataFrame, ratio: float = 1.6, least: int = 8) -> DataFrame:

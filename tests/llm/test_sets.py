@@ -144,3 +144,21 @@ def test_most_frequent_of_few_and_none(spark):
     assert [(r.key, r.n) for r in frequent.most_frequent(df, 30).collect()] == [("a", 2), ("b", 1)]
     assert frequent.most_frequent(df.limit(0), 30).count() == 0
     assert [(r.key, r.n) for r in frequent.most_frequent(df, 1).collect()] == [("a", 2)]
+
+
+def test_one_key_in_thousands_of_groups(spark):
+    """Groups of one pattern are made distinct in linear time: twice the groups take about twice as long."""
+    import time
+
+    def took(groups):
+        members = spark.range(groups).selectExpr("'k' as key", "cast(date_add(date'2026-01-01', cast(id % 50 as int)) as string) as day", "cast(id div 50 as int) as store_id", "1 as level")
+        counts = distinct.count_by(distinct.patterns(members), ("day",), ("store_id",), ("day", "store_id", "level"))
+        best = None
+        for _ in range(3):
+            t = time.perf_counter()
+            rows = counts.collect()
+            best = min(best or 1e9, time.perf_counter() - t)
+        assert len(rows) == 50 + groups // 50 + groups and all(r.n == 1 for r in rows)
+        return best
+
+    assert took(40_000) < 4 * took(20_000) + 1
