@@ -14,18 +14,22 @@ SAMPLE = 8
 
 
 def suffix_array(s: np.ndarray) -> np.ndarray:
-    """Suffix array of symbols below 2**15, by sorting four symbols at once and then doubling.
+    """Suffix array of symbols below 2**31, by sorting as many symbols at once as 63 bits hold and then doubling.
 
     Each round sorts only suffixes that are not yet told apart.
     """
     n = len(s)
     if n == 0:
         return np.zeros(0, dtype=np.int64)
-    pad = np.zeros(n + 4, dtype=np.int64)
+    bits = (int(s.max()) + 1).bit_length()
+    first = 63 // bits
+    pad = np.zeros(n + first, dtype=np.int64)
     pad[:n] = s.astype(np.int64) + 1
-    key = (pad[:n] << 48) | (pad[1 : n + 1] << 32) | (pad[2 : n + 2] << 16) | pad[3 : n + 3]
+    key = np.zeros(n, dtype=np.int64)
+    for j in range(first):
+        key = key << bits | pad[j : n + j]
     sa = np.argsort(key, kind="stable")
-    k, width = key[sa], 4
+    k, width = key[sa], first
     new = np.r_[True, k[1:] != k[:-1]]
     start = np.maximum.accumulate(np.where(new, np.arange(n), 0))
     rank = np.empty(n, dtype=np.int64)
@@ -40,8 +44,7 @@ def suffix_array(s: np.ndarray) -> np.ndarray:
         key, at = key[order], at[order]
         sa[open_] = at
         new = np.r_[True, key[1:] != key[:-1]]
-        first = open_[np.maximum.accumulate(np.where(new, np.arange(len(open_)), 0))]
-        rank[at] = first
+        rank[at] = open_[np.maximum.accumulate(np.where(new, np.arange(len(open_)), 0))]
         open_ = open_[~(new & np.r_[new[1:], True])]
         width *= 2
     return sa
@@ -84,7 +87,7 @@ class FMIndex:
     @classmethod
     def build(cls, s: np.ndarray, symbols: int) -> FMIndex:
         """Index of ``s`` followed by an end mark; symbols are 1 .. symbols - 1, the mark is 0."""
-        text = np.r_[s.astype(np.uint16), np.uint16(0)]
+        text = np.r_[s.astype(np.uint32), np.uint32(0)]
         n = len(text)
         sa = suffix_array(text)
         bwt = text[sa - 1]
@@ -102,7 +105,7 @@ class FMIndex:
     def dump(self) -> bytes:
         out = io.BytesIO()
         arrays = {f"l{i}": b.words for i, b in enumerate(self.levels)}
-        np.savez(out, counts=self.counts, marked=self.marked.words, samples=self.samples, n=np.array([self.n]), **arrays)
+        np.savez(out, counts=self.counts.astype(np.int32), marked=self.marked.words, samples=self.samples, n=np.array([self.n]), **arrays)
         return out.getvalue()
 
     @classmethod
@@ -110,7 +113,7 @@ class FMIndex:
         with np.load(io.BytesIO(data)) as z:
             n = int(z["n"][0])
             depth = sum(k.startswith("l") for k in z.files)
-            return cls([Bits(z[f"l{i}"], n) for i in range(depth)], z["counts"], Bits(z["marked"], n), z["samples"], n)
+            return cls([Bits(z[f"l{i}"], n) for i in range(depth)], z["counts"].astype(np.int64), Bits(z["marked"], n), z["samples"], n)
 
     def rank(self, c: np.ndarray, i: np.ndarray) -> np.ndarray:
         """Occurrences of symbol c among the first i symbols of the transform."""
