@@ -137,7 +137,7 @@ def _normal(word: str) -> str:
         if len(_plain) > 500_000:
             _plain.clear()
         w = word.replace(_GAP, "").casefold()
-        got = _plain[word] = w if w.isascii() else "".join(_WORD.findall(_MARKS.sub("", unicodedata.normalize("NFKD", w)))) or w
+        got = _plain[word] = w if w.isascii() else "".join(_WORD.findall(_MARKS.sub("", unicodedata.normalize("NFKD", w)))).casefold() or w
     return got
 
 
