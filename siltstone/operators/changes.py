@@ -1,7 +1,9 @@
 """Apply a feed of inserts, updates and deletes in order, whatever order it arrives in.
 
-Changes are rows (store_id, key, wal_gen, seq, is_put), with a value where the table holds values. They are divided into buckets by
-(store_id, key); each bucket is one embedded DuckDB table with a primary key, into which
+Changes are rows (store_id, key, wal_gen, seq, is_put), with a value where the table holds values. They are divided by
+(store_id, key) into groups, the folders of the table, and each group into buckets. Every call chooses the number of buckets by what
+the touched groups hold and what comes in, so a table may grow without bound while a bucket does not;
+each bucket is one embedded DuckDB table with a primary key, into which
 changes are upserted: a conflict overwrites only if the incoming (wal_gen, seq) is greater
 than the stored one. Deletes stay as tombstone rows, so a late older put cannot bring a key
 back. The same upsert first runs over each input split, so a key with a third of all rows
@@ -17,13 +19,17 @@ Further columns are ignored, so they may clash with any name used here.
 
 from __future__ import annotations
 
+import os
+import shutil
+import tempfile
+import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltstone.session import delete_path, list_names, publish, published
+from siltstone.session import delete_path, hadoop_path, list_names, publish, published, vacuum_manifests
 
 COLUMNS = ("store_id", "key", "wal_gen", "seq", "is_put")
 STATE = "store_id int, key string, wal_gen int, seq long, is_put boolean"
@@ -37,8 +43,16 @@ DELETE_WORDS = ("DELETE", "DEL", "1")
 SPLIT_ROWS, SPLIT_BYTES = 400_000, 192 << 20
 #: Rows and bytes upserted at once.
 STEP_ROWS, STEP_BYTES = 60_000, 32 << 20
-#: Changes, and bytes of values, aimed at per bucket.
+#: Rows of state passed on at once.
+EXPORT_ROWS = 10_000
+#: Keys and changes, and bytes of values, that a bucket holds at most, but for the unevenness of a hash.
 BUCKET_ROWS, BUCKET_BYTES = 300_000, 128 << 20
+#: Groups of a table at most; bounds its folders, its manifest and what reaches the driver.
+GROUPS = 4096
+#: How many times larger values are taken to be than their compressed files.
+EXPANSION = 6
+#: Memory of one bucket's table; what is beyond goes to a scratch folder of the task, which nothing else reads.
+MEMORY = "512MB"
 
 
 def is_put(op: Column) -> Column:
@@ -73,8 +87,9 @@ class _Table:
             ON CONFLICT (store_id, key) DO UPDATE SET {", ".join(f"{k} = excluded.{k}" for k in kept)}
             WHERE ({", ".join(o.format("excluded.") for o in order)}) > ({", ".join(o.format("state.") for o in order)})"""
 
-        self.con = duckdb.connect(":memory:", config={"threads": 1, "memory_limit": "512MB"})
-        self.con.execute("SET preserve_insertion_order=false; SET temp_directory=''")
+        self.scratch = tempfile.mkdtemp(prefix="bucket-", dir=os.environ.get("SPARK_LOCAL_DIRS", "").split(",")[0] or None)
+        self.con = duckdb.connect(":memory:", config={"threads": 1, "memory_limit": MEMORY, "temp_directory": self.scratch})
+        self.con.execute("SET preserve_insertion_order=false")
         self.clear()
 
     def clear(self) -> None:
@@ -88,10 +103,11 @@ class _Table:
         self.rows = self.con.execute("SELECT count(*) FROM state").fetchall()[0][0]
 
     def export(self) -> Iterator[pa.RecordBatch]:
-        yield from self.con.sql("SELECT * FROM state").to_arrow_table().to_batches(max_chunksize=50_000)
+        yield from self.con.sql("SELECT * FROM state").to_arrow_reader(EXPORT_ROWS)
 
     def close(self) -> None:
         self.con.close()
+        shutil.rmtree(self.scratch, ignore_errors=True)
 
 
 def _upserter(split_rows: int | None, values: bool):
@@ -122,27 +138,37 @@ def _upserter(split_rows: int | None, values: bool):
     return run
 
 
-def _bucket(buckets: int) -> Column:
-    """The bucket of a row, by the hash and modulus of the exchange, so that a bucket is one partition."""
-    return F.pmod(F.hash("store_id", "key"), F.lit(buckets))
+def _hash() -> Column:
+    return F.xxhash64("store_id", "key")
 
 
-def resolve(changes: DataFrame, buckets: int, values: bool = False) -> DataFrame:
-    """The last change of each key with its bucket: store_id, key, wal_gen, seq, is_put, value if asked for, bucket. Tombstones included."""
+def _group(groups: int) -> Column:
+    return F.pmod(_hash(), F.lit(groups)).cast("int")
+
+
+def resolve(changes: DataFrame, groups: int, per_group: int = 1, touched: list[int] | None = None, values: bool = False) -> DataFrame:
+    """The last change of each key with its group: store_id, key, wal_gen, seq, is_put, value if asked for, group. Tombstones included.
+
+    Each of the ``touched`` groups (all of them by default) is ``per_group`` buckets, and a bucket one task.
+    """
     schema = STATE + VALUE * values
     clean = changes.select(*COLUMNS, *["value"] * values).na.drop(subset=list(COLUMNS))
     partial = clean.mapInArrow(_upserter(SPLIT_ROWS, values), schema)
-    routed = partial.repartition(buckets, "store_id", "key")
-    return routed.mapInArrow(_upserter(None, values), schema).withColumn("bucket", _bucket(buckets))
+    touched = list(range(groups)) if touched is None else touched
+    rank = {g: i for i, g in enumerate(touched)}
+    at = F.array(*(F.lit(rank.get(g, -1)) for g in range(groups)))[_group(groups)] if len(touched) < groups else _group(groups)
+    bucket = at * per_group + F.pmod(F.floor(_hash() / groups), F.lit(per_group)).cast("int")
+    routed = partial.repartitionById(max(1, len(touched) * per_group), bucket)
+    return routed.mapInArrow(_upserter(None, values), schema).withColumn("group", _group(groups))
 
 
 class ChangeTable:
     """A versioned table of current state in a shared folder, for one writer and any readers.
 
-    ``apply`` folds changes into the buckets they touch and publishes the next version; the
-    manifest names the version folder of every bucket, so buckets without changes are neither
+    ``apply`` folds changes into the groups they touch and publishes the next version; the
+    manifest names the version folder, rows and bytes of every group, so groups without changes are neither
     read nor written. A failed or repeated call leaves the published state whole; applying
-    changes twice gives the same state. The number of buckets is fixed by the first call.
+    changes twice gives the same state. The number of groups is fixed by the first call, that of buckets by none.
     """
 
     def __init__(self, spark: SparkSession, path: str, values: bool = False):
@@ -150,13 +176,10 @@ class ChangeTable:
         self.spark, self.path, self.values = spark, path, values
         self.schema = STATE + VALUE * values
 
-    def _bucket_paths(self, at: dict[str, str]) -> list[str]:
-        return [f"{self.path}/{version}/bucket={b}" for b, version in at.items()]
-
-    def _read(self, at: dict[str, str]) -> DataFrame:
+    def _read(self, at: dict[str, dict]) -> DataFrame:
         if not at:
             return self.spark.createDataFrame([], self.schema)
-        return self.spark.read.schema(self.schema).parquet(*self._bucket_paths(at))
+        return self.spark.read.schema(self.schema).parquet(*(f"{self.path}/{held['version']}/group={g}" for g, held in at.items()))
 
     def state(self) -> DataFrame:
         """Live keys and tombstones of the published version; no rows before the first."""
@@ -166,33 +189,54 @@ class ChangeTable:
     def live(self) -> DataFrame:
         return self.state().where("is_put").drop("is_put")
 
-    def apply(self, changes: DataFrame, buckets: int | None = None) -> str:
+    def _plan(self, fed: DataFrame, now: dict | None, groups: int | None) -> tuple[int, list[int] | None, int]:
+        """Groups of the table, those that are touched (None: all), and buckets of each."""
+        size = F.sum(F.octet_length("value")) if self.values else F.lit(0)
+        if now is None:
+            rows = fed.count()  # from file footers where the source has them
+            size = (fed.agg(size).first()[0] or 0) if self.values else 0
+            buckets = max(-(-rows // BUCKET_ROWS), -(-size // BUCKET_BYTES))
+            groups = groups or min(GROUPS, max(int(self.spark.conf.get("spark.sql.shuffle.partitions")), buckets))
+            return groups, None, max(1, -(-buckets // groups))
+        groups, at = now["groups"], now["at"]
+        coming = fed.na.drop(subset=list(COLUMNS)).groupBy(_group(groups).alias("g")).agg(F.count("*").alias("n"), size.alias("b")).collect()  # at most GROUPS rows
+        none = {"rows": 0, "bytes": 0}
+        held = {r.g: at.get(str(r.g), none) for r in coming}
+        rows = max((held[r.g]["rows"] + r.n for r in coming), default=0)
+        size = max((held[r.g]["bytes"] * EXPANSION + (r.b or 0) for r in coming), default=0) if self.values else 0
+        return groups, sorted(held), max(1, -(-rows // BUCKET_ROWS), -(-size // BUCKET_BYTES))
+
+    def apply(self, changes: DataFrame, groups: int | None = None) -> str:
         """Apply changes and publish; returns the new version's name.
 
-        ``buckets`` counts for the first call only; its default is one per BUCKET_ROWS changes,
-        counted from file footers where the source has them, or per BUCKET_BYTES of values.
+        ``groups`` counts for the first call only; its default is one per BUCKET_ROWS changes
+        or per BUCKET_BYTES of values, and at most GROUPS.
         """
-        import uuid
-
         now = published(self.spark, self.path)
         fed = changes.select(*COLUMNS, *["value"] * self.values)
-        if now is not None:
-            buckets = now["buckets"]
-            # one row per bucket
-            touched = fed.na.drop(subset=list(COLUMNS)).select(_bucket(buckets).alias("b")).distinct().toLocalIterator()
-            at = {b: now["at"][b] for b in (str(r.b) for r in touched) if b in now["at"]}
-            fed = self._read(at).unionByName(fed)
-        elif buckets is None:
-            buckets = max(int(self.spark.conf.get("spark.sql.shuffle.partitions")), -(-fed.count() // BUCKET_ROWS))
-            if self.values:
-                size = fed.agg(F.sum(F.octet_length("value"))).first()[0] or 0
-                buckets = max(buckets, -(-size // BUCKET_BYTES))
+        groups, touched, per_group = self._plan(fed, now, groups)
+        at = now["at"] if now else {}
+        if touched is not None:
+            fed = self._read({str(g): at[str(g)] for g in touched if str(g) in at}).unionByName(fed)
         version = f"version-{uuid.uuid4().hex[:12]}"
-        resolve(fed, buckets, self.values).write.partitionBy("bucket").parquet(f"{self.path}/{version}")
-        written = [n[7:] for n in list_names(self.spark, f"{self.path}/{version}") if n.startswith("bucket=")]
-        publish(self.spark, self.path, version, buckets=buckets, at={**(now["at"] if now else {}), **dict.fromkeys(written, version)})
+        resolve(fed, groups, per_group, touched, self.values).write.partitionBy("group").parquet(f"{self.path}/{version}")
+        publish(self.spark, self.path, version, groups=groups, at={**at, **self._written(version)})
         return version
 
+    def _written(self, version: str) -> dict[str, dict]:
+        """What a version's groups hold: rows from file footers, bytes from the file system."""
+        folder = f"{self.path}/{version}"
+        names = [n[6:] for n in list_names(self.spark, folder) if n.startswith("group=")]
+        if not names:
+            return {}
+        rows = self.spark.read.schema(f"{self.schema}, group int").parquet(folder).groupBy("group").count().collect()  # one row per group
+        out = {str(r["group"]): {"version": version, "rows": r["count"], "bytes": 0} for r in rows}
+        if self.values:
+            for g in out:
+                fs, p = hadoop_path(self.spark, f"{folder}/group={g}")
+                out[g]["bytes"] = fs.getContentSummary(p).getLength()
+        return out
+
     def follow(self, stream: DataFrame, checkpoint: str) -> None:
         """Apply what a stream of changes holds, batch by batch, and stop; a later call goes on from the checkpoint.
 
@@ -205,9 +249,10 @@ class ChangeTable:
             q.stop()
 
     def vacuum(self) -> None:
-        """Remove version folders that no bucket of the published version lies in."""
+        """Remove version folders that no group of the published version lies in, and manifests before its own."""
         now = published(self.spark, self.path)
-        kept = set(now["at"].values()) if now else set()
+        kept = {held["version"] for held in now["at"].values()} if now else set()
         for name in list_names(self.spark, self.path):
             if name.startswith("version-") and name not in kept:
                 delete_path(self.spark, f"{self.path}/{name}")
+        vacuum_manifests(self.spark, self.path)

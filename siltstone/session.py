@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
 import json
 import os
+import re
+import shutil
 import tempfile
 import uuid
 
@@ -29,11 +32,16 @@ def local_session(app: str = "siltstone", cores: int | str = 8, **conf: str) ->
 def shared_root(spark: SparkSession) -> str:
     """The folder all executors share: ``spark.checkpoint.dir`` of the session.
 
-    Only where that is unset (tests, local mode) a temporary folder is made and set.
+    Only where that is unset and all executors are threads of one machine (tests, local mode) a temporary folder is made
+    and set; it is removed when the program ends. On a cluster an unset folder is an error.
     """
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not root:
-        root = "file://" + tempfile.mkdtemp(prefix="siltstone-")
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        folder = tempfile.mkdtemp(prefix="siltstone-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        root = f"file://{folder}"
         spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")
 
@@ -51,15 +59,14 @@ def hadoop_path(spark: SparkSession, path: str):
 
 
 def write_text(spark: SparkSession, path: str, text: str) -> None:
-    """Write a small file so that it appears whole: to a side name, then renamed over."""
+    """Write a small file so that it appears whole: to a side name, then renamed. ``path`` must not exist."""
     fs, target = hadoop_path(spark, path)
     _, side = hadoop_path(spark, f"{path}.{uuid.uuid4().hex[:8]}.tmp")
     out = fs.create(side, True)
     out.write(bytearray(text.encode()))
     out.close()
-    if fs.exists(target):
-        fs.delete(target, False)
-    if not fs.rename(side, target):
+    if fs.exists(target) or not fs.rename(side, target):
+        fs.delete(side, False)
         raise OSError(f"cannot publish {path}")
 
 
@@ -87,21 +94,35 @@ def delete_path(spark: SparkSession, path: str) -> None:
         fs.delete(p, True)
 
 
+def _numbered(spark: SparkSession, base: str, kind: str) -> list[int]:
+    return sorted(int(m.group(1)) for n in list_names(spark, f"{base}/_manifests") if (m := re.fullmatch(kind + r"-(\d+)(?:\.json)?", n)))
+
+
 def publish(spark: SparkSession, base: str, version: str, **facts: object) -> None:
     """Make ``version`` the current one of ``base``; readers see the old or the new, never a mix.
 
-    A manifest with a rising number is written whole and then renamed to its final name,
-    which never existed before, so the switch is one rename.
+    A writer first claims the next number by creating a file that must not exist, so of two writers one fails.
+    The manifest of that number is then written whole to a side name and renamed to its own, which nothing
+    else ever had, so the switch is one rename. A number that was claimed and never published is left out.
     """
-    numbers = [int(n[9:-5]) for n in list_names(spark, f"{base}/_manifests") if n.startswith("manifest-") and n.endswith(".json")]
-    n = max(numbers, default=-1) + 1
+    n = max(_numbered(spark, base, "claim") + _numbered(spark, base, "manifest"), default=-1) + 1
+    fs, claim = hadoop_path(spark, f"{base}/_manifests/claim-{n:010d}")
+    fs.create(claim, False).close()
     write_text(spark, f"{base}/_manifests/manifest-{n:010d}.json", json.dumps({"version": version, **facts}))
 
 
 def published(spark: SparkSession, base: str) -> dict | None:
     """The newest manifest of ``base``."""
-    names = [n for n in list_names(spark, f"{base}/_manifests") if n.startswith("manifest-") and n.endswith(".json")]
-    return json.loads(read_text(spark, f"{base}/_manifests/{names[-1]}")) if names else None
+    numbers = _numbered(spark, base, "manifest")
+    return json.loads(read_text(spark, f"{base}/_manifests/manifest-{numbers[-1]:010d}.json")) if numbers else None
+
+
+def vacuum_manifests(spark: SparkSession, base: str) -> None:
+    """Remove all manifests and claims before the newest manifest."""
+    for kind, ending in (("manifest", ".json"), ("claim", "")):
+        for n in _numbered(spark, base, kind):
+            if n < max(_numbered(spark, base, "manifest"), default=0):
+                delete_path(spark, f"{base}/_manifests/{kind}-{n:010d}{ending}")
 
 
 def table_path(sf_dir: str, name: str) -> str:

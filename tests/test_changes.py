@@ -44,7 +44,7 @@ def test_batches_in_any_order_and_twice(spark, tmp_path, collected):
     whole = brute(rows)
     t = changes.ChangeTable(spark, f"file://{tmp_path}/t")
     for part in ([rows[1], rows[3]], [rows[0], rows[4]], [rows[2]], [rows[2]]):
-        t.apply(spark.createDataFrame(part, SCHEMA), buckets=3)
+        t.apply(spark.createDataFrame(part, SCHEMA), groups=3)
     assert collected(t.live()) == whole == [(1, "b", 2, 1)]
     assert t.state().where("not is_put").count() == 1
 
@@ -55,7 +55,7 @@ def test_failed_apply_leaves_the_published_version(spark, tmp_path, collected):
     before = published(spark, t.path)
     bad = spark.createDataFrame([(1, "z", 1, 1, True)], SCHEMA).withColumn("seq", F.raise_error(F.lit("x")).cast("long"))
     with pytest.raises(Exception):
-        t.apply(bad, buckets=2)
+        t.apply(bad, groups=2)
     assert published(spark, t.path) == before
     assert collected(t.live()) == [(1, "a", 1, 1)]
     t.apply(spark.createDataFrame([], SCHEMA))
@@ -68,7 +68,7 @@ def test_values_follow_their_change(spark, tmp_path, collected):
     rows = [(1, "a", 1, 1, True, "old"), (1, "a", 1, 2, True, None), (1, "a", 1, 2, True, ""), (1, "b", 1, 3, False, "x"), (1, "b", 1, 2, True, "y"), (1, "c", 1, 1, True, None)]
     t = changes.ChangeTable(spark, f"file://{tmp_path}/t", values=True)
     for r in (rows[3:], rows[:3], rows):
-        t.apply(spark.createDataFrame(r, schema), buckets=2)
+        t.apply(spark.createDataFrame(r, schema), groups=2)
     assert collected(t.live()) == [(1, "a", 1, 2, ""), (1, "c", 1, 1, None)]
 
 
@@ -94,12 +94,63 @@ def test_op_words(spark):
     assert [r[0] for r in df.select(changes.is_put(F.col("op"))).collect()] == [True] * 4 + [False] * 3 + [None] * 4
 
 
-def test_untouched_buckets_stay(spark, tmp_path, collected):
+def test_untouched_groups_stay(spark, tmp_path, collected):
     t = changes.ChangeTable(spark, f"file://{tmp_path}/t")
-    first = t.apply(spark.createDataFrame([(1, str(k), 1, 1, True) for k in range(50)], SCHEMA), buckets=8)
-    second = t.apply(spark.createDataFrame([(1, "7", 1, 2, False)], SCHEMA), buckets=3)
+    first = t.apply(spark.createDataFrame([(1, str(k), 1, 1, True) for k in range(50)], SCHEMA), groups=8)
+    second = t.apply(spark.createDataFrame([(1, "7", 1, 2, False)], SCHEMA), groups=3)
     at = published(spark, t.path)["at"]
-    assert sorted(set(at.values())) == sorted({first, second}) and list(at.values()).count(second) == 1
+    versions = [held["version"] for held in at.values()]
+    assert sorted(set(versions)) == sorted({first, second}) and versions.count(second) == 1 and sum(held["rows"] for held in at.values()) == 50
     assert collected(t.live().select("key")) == sorted(((str(k),) for k in range(50) if k != 7), key=repr)
     t.vacuum()
     assert t.live().count() == 49
+
+
+def test_a_table_grows_far_beyond_its_first_call(spark, tmp_path, monkeypatch):
+    """Twenty times the first call, with values of several times the memory that one bucket has."""
+    monkeypatch.setattr(changes, "BUCKET_ROWS", 1500)
+    monkeypatch.setattr(changes, "BUCKET_BYTES", 8 << 20)
+    monkeypatch.setattr(changes, "MEMORY", "64MB")
+    monkeypatch.setattr(changes, "STEP_BYTES", 2 << 20)
+    monkeypatch.setattr(changes, "SPLIT_BYTES", 8 << 20)
+    t = changes.ChangeTable(spark, f"file://{tmp_path}/t", values=True)
+
+    def feed(low, high):
+        random_text = F.concat(*(F.sha2(F.concat("id", F.lit(f"-{k}")), 512) for k in range(24)))
+        return spark.range(low, high).select(F.lit(1).alias("store_id"), F.col("id").cast("string").alias("key"), F.lit(1).alias("wal_gen"), F.col("id").alias("seq"), F.lit(True).alias("is_put"), random_text.alias("value"))
+
+    t.apply(feed(0, 2000), groups=2)
+    for k in range(1, 20, 5):
+        t.apply(feed(2000 * k, 2000 * (k + 5)))
+    now = published(spark, t.path)
+    assert now["groups"] == 2 and sum(held["rows"] for held in now["at"].values()) == 42_000
+    assert t.live().where("length(value) = 3072").agg(F.count_distinct("key")).first()[0] == 42_000
+    t.vacuum()
+    assert t.live().count() == 42_000
+
+
+def test_of_two_writers_one_fails(spark, tmp_path):
+    from siltstone import session
+
+    base = f"file://{tmp_path}/t"
+    session.publish(spark, base, "a")
+    with pytest.raises(Exception):
+        fs, claim = session.hadoop_path(spark, f"{base}/_manifests/claim-{0:010d}")
+        fs.create(claim, False)
+    fs, claim = session.hadoop_path(spark, f"{base}/_manifests/claim-{1:010d}")
+    fs.create(claim, False).close()  # claimed and never published
+    assert published(spark, base)["version"] == "a"
+    session.publish(spark, base, "b")
+    assert published(spark, base)["version"] == "b"
+    session.vacuum_manifests(spark, base)
+    assert published(spark, base)["version"] == "b"
+
+
+def test_no_machine_local_folder_on_a_cluster(spark, monkeypatch):
+    from types import SimpleNamespace
+
+    from siltstone import session
+
+    away = SimpleNamespace(conf=SimpleNamespace(get=lambda *a: None), sparkContext=SimpleNamespace(master="spark://x:7077", getConf=lambda: {}))
+    with pytest.raises(ValueError):
+        session.shared_root(away)
