@@ -1,15 +1,19 @@
 """Row numbers and lags over one global order, without one task that sees all rows.
 
-Rows are cut into blocks by the order column's value. Only a block's totals pass through
-one task: about one row for every ``block`` values.
+Rows are cut into blocks of about equal numbers of rows by boundaries of the order column, which a sample sets as in a
+range partitioner: it decides how even the blocks are, never a result. Only the blocks' totals, at most BLOCKS rows, pass through one task.
 """
 
 from __future__ import annotations
 
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-BLOCK = 65_536
+#: Rows aimed at per block, and blocks at most.
+BLOCK, BLOCKS = 65_536, 10_000
+#: Values looked at per boundary.
+SAMPLED = 40
 
 
 def whole_div(column: str, n: int) -> Column:
@@ -17,8 +21,18 @@ def whole_div(column: str, n: int) -> Column:
     return F.expr(f"`{column}` div {n}")
 
 
-def _block(by: str, block: int) -> Column:
-    return F.coalesce(whole_div(by, block), F.lit(-(2**62)))
+def _in_blocks(df: DataFrame, by: str, block: int) -> DataFrame:
+    """Add ``__block``, which rises with ``by``; null values are in the first block."""
+    rows = df.count()
+    blocks = min(BLOCKS, -(-rows // block))
+    if blocks < 2:
+        return df.withColumn("__block", F.lit(0.0))
+    sample = df.select(F.col(by).cast("double").alias("v")).where(F.col("v").isNotNull()).sample(min(1.0, SAMPLED * blocks / rows), seed=7)
+    values = sorted(r.v for r in sample.collect())  # about SAMPLED * BLOCKS numbers at most
+    cuts = sorted({values[len(values) * k // blocks] for k in range(1, blocks)}) if values else []
+    splits = [-float("inf"), *cuts, float("inf")]
+    tagged = df.withColumn("__v", F.coalesce(F.col(by).cast("double"), F.lit(-float("inf"))))
+    return Bucketizer(splits=splits, inputCol="__v", outputCol="__block").transform(tagged).drop("__v")
 
 
 def with_ordinal(df: DataFrame, by: str, name: str = "ordinal", block: int = BLOCK) -> DataFrame:
@@ -27,26 +41,29 @@ def with_ordinal(df: DataFrame, by: str, name: str = "ordinal", block: int = BLO
     ``by`` must be unique and not null for a defined result; rows with a null ``by`` come
     first, in no order among themselves. No rows give no rows. A column called as ``name`` is replaced.
     """
-    df = df.drop(name)
-    tagged = df.withColumn("__block", _block(by, block))
+    tagged = _in_blocks(df.drop(name), by, block)
     sums = tagged.groupBy("__block").agg(F.count("*").alias("__n"))
     # totals only; the empty partition key sorts them in one task
     before = sums.select("__block", (F.sum("__n").over(Window.orderBy("__block")) - F.col("__n")).alias("__before"))
     local = F.row_number().over(Window.partitionBy("__block").orderBy(F.col(by).asc_nulls_first()))
-    return tagged.withColumn("__local", local).join(before, "__block").withColumn(name, F.col("__before") + F.col("__local") - 1).drop("__block", "__before", "__local")
+    return (
+        tagged.withColumn("__local", local)
+        .join(F.broadcast(before), "__block")
+        .withColumn(name, (F.col("__before") + F.col("__local") - 1).cast("long"))
+        .drop("__block", "__before", "__local")
+    )
 
 
 def with_previous(df: DataFrame, by: str, value: str, name: str, default: Column, block: int = BLOCK) -> DataFrame:
     """Add ``name``: ``value`` of the row before in ascending order of ``by``; ``default`` for the first row."""
-    df = df.drop(name)
-    tagged = df.withColumn("__block", _block(by, block))
+    tagged = _in_blocks(df.drop(name), by, block)
     ends = tagged.groupBy("__block").agg(F.max_by(F.struct(F.col(value).alias("v")), F.col(by)).alias("__last"))
     before = ends.select("__block", F.lag("__last").over(Window.orderBy("__block")).alias("__carry"))
     w = Window.partitionBy("__block").orderBy(F.col(by).asc_nulls_first())
     prev = F.lag(F.struct(F.col(value).alias("v"))).over(w)
     return (
         tagged.withColumn("__prev", prev)
-        .join(before, "__block")
+        .join(F.broadcast(before), "__block")
         .withColumn("__use", F.coalesce(F.col("__prev"), F.col("__carry")))
         .withColumn(name, F.when(F.col("__use").isNull(), default).otherwise(F.col("__use.v")))
         .drop("__block", "__prev", "__carry", "__use")

@@ -1,4 +1,4 @@
-"""Least-recently-used cache simulation over a put-only access log."""
+"""Least-recently-used caches: replay of gets, puts and deletes, and simulation over a log of accesses."""
 
 from __future__ import annotations
 
@@ -6,6 +6,7 @@ from collections import OrderedDict
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -74,3 +75,49 @@ def hits(log: DataFrame, capacity: int, block: int = 1_000_000) -> DataFrame:
 
     parts = feed.repartition("blk").sortWithinPartitions("blk", "ordinal").mapInPandas(replay, "accesses long, hits long")
     return parts.agg(F.coalesce(F.sum("accesses"), F.lit(0)).alias("accesses"), F.coalesce(F.sum("hits"), F.lit(0)).alias("hits"))
+
+
+def replay(ops: DataFrame, capacity: int, by: str) -> DataFrame:
+    """Replay GET, PUT and DELETE on one cache per value of ``by``: by, gets, hits, evictions, size in the end.
+
+    A get of a cached key makes it the latest; a get of any other key changes nothing. A put inserts or overwrites, makes its key
+    the latest and drops the oldest key beyond ``capacity``. A delete frees its key's place. ``ops`` has by, seq, op, key; other ops and rows
+    with a null key are left out. What a get does depends on all before it, so a cache is taken in order; nothing is held but its
+    keys, at most ``capacity``. Caches are independent of each other. No rows give no caches.
+    """
+    src = ops.where(F.col("op").isin("GET", "PUT", "DELETE") & F.col("key").isNotNull()).select(by, "seq", "op", "key")
+    kind = src.schema[by].dataType.simpleString()
+    none = object()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        owner, kept, counts = none, OrderedDict(), [0, 0, 0]
+
+        def row(types: pa.DataType) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([owner], types), *(pa.array([n], pa.int64()) for n in (*counts, len(kept)))], names=[by, "gets", "hits", "evictions", "size"])
+
+        owners = None
+        for b in batches:
+            owners = b.column(0).type
+            for o, op, k in zip(*(b.column(i).to_pylist() for i in (0, 2, 3))):
+                if o != owner:
+                    if owner is not none:
+                        yield row(owners)
+                    owner, kept, counts = o, OrderedDict(), [0, 0, 0]
+                if op == "GET":
+                    counts[0] += 1
+                    if k in kept:
+                        counts[1] += 1
+                        kept.move_to_end(k)
+                elif op == "DELETE":
+                    kept.pop(k, None)
+                else:
+                    kept[k] = None
+                    kept.move_to_end(k)
+                    if len(kept) > capacity:
+                        kept.popitem(last=False)
+                        counts[2] += 1
+        if owner is not none:
+            yield row(owners)
+
+    ordered = src.repartition(by).sortWithinPartitions(by, "seq")
+    return ordered.mapInArrow(run, f"`{by}` {kind}, gets long, hits long, evictions long, size long")

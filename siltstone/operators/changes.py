@@ -237,6 +237,22 @@ class ChangeTable:
                 out[g]["bytes"] = fs.getContentSummary(p).getLength()
         return out
 
+    def forget(self, wal_gen: int, seq: int) -> None:
+        """Drop tombstones before (wal_gen, seq), where no change before it will come any more. Groups without any are not rewritten."""
+        now = published(self.spark, self.path)
+        if now is None:
+            return
+        old = ~F.col("is_put") & (F.struct("wal_gen", "seq") < F.struct(F.lit(wal_gen).alias("wal_gen"), F.lit(seq).cast("long").alias("seq")))
+        groups = _group(now["groups"])
+        touched = [str(r.g) for r in self.state().where(old).select(groups.alias("g")).distinct().collect()]  # at most GROUPS rows
+        if not touched:
+            return
+        version = f"version-{uuid.uuid4().hex[:12]}"
+        kept = self._read({g: now["at"][g] for g in touched}).where(~old).withColumn("group", groups)
+        kept.write.partitionBy("group").parquet(f"{self.path}/{version}")
+        rest = {g: held for g, held in now["at"].items() if g not in touched}
+        publish(self.spark, self.path, version, groups=now["groups"], at={**rest, **self._written(version)})
+
     def follow(self, stream: DataFrame, checkpoint: str) -> None:
         """Apply what a stream of changes holds, batch by batch, and stop; a later call goes on from the checkpoint.
 

@@ -6,7 +6,10 @@ duplicates; the reading of the code where the oldest wins is the same path with
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from siltstone.functions.ordinal import whole_div, with_ordinal
@@ -48,21 +51,37 @@ def merge_tiers(runs: DataFrame, fan_in: int = FAN_IN) -> DataFrame:
     return oldest.where(~((F.col("op") == "DELETE") & (F.col("__first") == F.col("grp")))).drop("__first")
 
 
-def tiers(run_ids: DataFrame, n_runs: DataFrame, fan_in: int = FAN_IN) -> DataFrame:
-    """Level and merged run of each flushed run when all compactions are done.
+def level_of(run_id: str, n: int | Column, fan_in: int = FAN_IN) -> Column:
+    """Level of a flushed run when all compactions of ``n`` flushes are done: the greatest l whose block of fan_in**l runs around it is complete."""
+    level, lvl = F.lit(0), 1
+    n = n if isinstance(n, Column) else F.lit(n)
+    while fan_in**lvl < 2**40:
+        size = fan_in**lvl
+        level = F.when((whole_div(run_id, size) + 1) * F.lit(size) <= n, F.lit(lvl)).otherwise(level)
+        lvl += 1
+    return level
+
+
+def merged_run(run_id: str, level: Column, fan_in: int = FAN_IN) -> Column:
+    """Number of the merged run of a level that a flushed run lies in, by whole division."""
+    out, lvl = F.col(run_id), 1
+    while fan_in**lvl < 2**40:
+        out = F.when(level >= lvl, whole_div(run_id, fan_in**lvl)).otherwise(out)
+        lvl += 1
+    return out
+
+
+def tiers(run_ids: DataFrame, n: int, fan_in: int = FAN_IN) -> DataFrame:
+    """Level and merged run of each flushed run when all compactions of ``n`` flushes are done."""
+    return run_ids.withColumn("level", level_of("run_id", n, fan_in)).withColumn("merged_run", merged_run("run_id", F.col("level"), fan_in))
+
 
-    Run r lies in level l, the greatest l whose block of fan_in**l runs around r is complete.
-    ``n_runs`` has one row with the number of flushes, ``n``.
+def compact_tiers(runs: DataFrame, n: int, newest: bool = True, fan_in: int = FAN_IN, keep: tuple[str, ...] = ("seq", "value")) -> DataFrame:
+    """The merged runs of all levels when all compactions of ``n`` flushes are done: level, merged_run, key and the winner's row.
+
+    A run is merged once, into the run it ends up in; the rounds between change no result, since merging is associative.
     """
-    top = 20
-    r, n = F.col("run_id"), F.col("n")
-    level = F.lit(0)
-    for lvl in range(1, top):
-        size = F.lit(fan_in**lvl)
-        level = F.when((F.floor(r / size) + 1) * size <= n, F.lit(lvl)).otherwise(level)
-    one = F.lit(1)
-    joined = run_ids.withColumn("__one", one).join(F.broadcast(n_runs.withColumn("__one", one)), "__one").drop("__one")
-    return joined.withColumn("level", level).withColumn("merged_run", F.floor(r / F.pow(F.lit(fan_in), F.col("level"))).cast("long")).drop("n")
+    return merge(tiers(runs, n, fan_in), "level", "merged_run", newest=newest, keep=keep)
 
 
 def occupancy(membership: DataFrame) -> DataFrame:
@@ -73,13 +92,44 @@ def occupancy(membership: DataFrame) -> DataFrame:
 def tiered_get(runs: DataFrame, newest: bool = True) -> DataFrame:
     """Each key's row by tier precedence: buffer (level -1), then levels upwards, then runs of a level.
 
-    ``runs`` has run_id, level, key, seq, value.
+    ``runs`` has run_id, level, key, seq, value. Where it has ``op``, too, a key whose first row in that order is a
+    tombstone (DELETE) is gone and gives no row, whatever older runs hold.
     """
-    order = F.struct(F.col("level"), (-F.col("run_id") if newest else F.col("run_id")).alias("r"), F.col("seq"), F.col("value"), F.col("run_id"))
+    ops = ["op"] * ("op" in runs.columns)
+    order = F.struct(F.col("level"), (-F.col("run_id") if newest else F.col("run_id")).alias("r"), F.col("seq"), *ops, F.col("value"), F.col("run_id"))
     best = runs.groupBy("key").agg(F.min(order).alias("w"))
+    if ops:
+        best = best.where(~F.coalesce(F.col("w.op") == "DELETE", F.lit(False)))
     return best.select("key", "w.level", "w.run_id", "w.seq", "w.value")
 
 
+def flush_when_full(log: DataFrame, keys: int, by: str, keep: tuple[str, ...] = ("value",)) -> DataFrame:
+    """Cut each log of ``by`` into runs as a write buffer does that is flushed, and emptied, when it holds ``keys`` different keys.
+
+    Gives ``by``, run_id from 0, key, seq and ``keep`` of the last entry of a key in a run; what is still in the buffer is the last run.
+    Where a run ends depends on where the one before ended, so a log is taken in order; nothing is held but the buffer's
+    keys. Logs of different ``by`` are independent. Rows with a null key or seq are no mutations.
+    """
+    src = log.where(F.col("key").isNotNull() & F.col("seq").isNotNull()).select(by, "seq", "key", *keep)
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in src.schema) + ", run_id long"
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        owner, held, run = None, set(), 0
+        for b in batches:
+            numbers = []
+            for o, k in zip(b.column(0).to_pylist(), b.column(2).to_pylist()):
+                if o != owner:
+                    owner, held, run = o, set(), 0
+                numbers.append(run)
+                held.add(k)
+                if len(held) >= keys:
+                    held, run = set(), run + 1
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(numbers, pa.int64())], names=[*b.schema.names, "run_id"])
+
+    ordered = src.repartition(by).sortWithinPartitions(by, "seq")
+    return latest(ordered.mapInArrow(cut, schema), by, "run_id", keep=keep)
+
+
 def as_coded_deletes(log: DataFrame, ops_per_run: int) -> DataFrame:
     """Live keys if a delete counts only while its key is in the write buffer.
 

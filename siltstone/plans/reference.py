@@ -7,19 +7,20 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltstone.functions.hashing import bit_position, fnv_hash, mix_hash, sha_hash
+from siltstone.functions.hashing import bit_position, fnv_hash, mix_hash, sha_hash, with_bits
 from siltstone.functions.ordinal import whole_div
 from siltstone.functions.units import to_millis
 from siltstone.operators import cache, probe, runs, state, ttl, wal
 from siltstone.session import work_dir
 from siltstone.sources import files
-from siltstone.sources.tables import olog, oplog, requests
-from siltstone.streaming.oplog import ExpiringState, LatestState, log_stream
+from siltstone.sources.tables import olog, oplog, requests, table
+from siltstone.streaming.oplog import LOG, ExpiringState, LatestState, log_stream
 
 NOW_MS = 1705276800000
 RUN_OPS = 1000
 DELETE_RUN_OPS = 50
 CACHE_KEYS = 50
+PARTS, CACHE_PART_KEYS, BUFFER_KEYS = 8, 30, 50
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -133,9 +134,14 @@ def compact_purge(s, d):
     return runs.merge_tiers(_op_runs(s, d))
 
 
+def _flushes(r):
+    """Number of the last run, the write buffer, i.e. of the flushes before it: one row."""
+    return r.agg(F.max("run_id")).first()[0] or 0
+
+
 def _membership(s, d):
     ids = _runs(s, d).select("run_id").distinct()
-    return runs.tiers(ids, ids.agg(F.count("*").alias("n")))
+    return runs.tiers(ids, ids.count())
 
 
 @query
@@ -148,24 +154,56 @@ def tier_levels(s, d):
     return runs.occupancy(_membership(s, d))
 
 
-def _tiered(s, d):
+@query
+def compact_tiers(s, d):
+    r = _stored(s, _runs(s, d))
+    return runs.compact_tiers(r, _flushes(r) + 1)
+
+
+@query
+def compact_files(s, d):
+    """Runs written to run files, read back and merged."""
+    path = work_dir(s, "runs")
+    files.write_runs(_runs(s, d), path)
+    return runs.merge(files.read_runs(s, path).withColumn("grp", whole_div("run_id", 4)), "grp")
+
+
+def _stored(s, r):
+    """Runs are files: written once, read by every part of a query."""
+    path = work_dir(s, "runs")
+    r.write.parquet(path)
+    return s.read.parquet(path)
+
+
+def _tiered(s, r):
     """Runs with their level; the last run is the write buffer, level -1."""
-    r = _runs(s, d)
-    ids = r.select("run_id").distinct()
-    m = runs.tiers(ids, ids.agg((F.count("*") - 1).alias("n"))).drop("merged_run")
-    last = ids.agg(F.max("run_id").alias("buffer")).withColumn("one", F.lit(1))
-    m = m.withColumn("one", F.lit(1)).join(F.broadcast(last), "one").withColumn("level", F.when(F.col("run_id") == F.col("buffer"), -1).otherwise(F.col("level"))).drop("one", "buffer")
-    return r.join(m, "run_id")
+    r = _stored(s, r)
+    buffer = _flushes(r)
+    return r.withColumn("level", F.when(F.col("run_id") == buffer, -1).otherwise(runs.level_of("run_id", buffer)))
 
 
 @query
 def tiered_get(s, d):
-    return runs.tiered_get(_tiered(s, d))
+    return runs.tiered_get(_tiered(s, _runs(s, d)))
 
 
 @query
 def tiered_get_as_coded(s, d):
-    return runs.tiered_get(_tiered(s, d), newest=False)
+    return runs.tiered_get(_tiered(s, _runs(s, d)), newest=False)
+
+
+@query
+def tiered_get_deleted(s, d):
+    """Tiered reads over runs that hold tombstones."""
+    return runs.tiered_get(_tiered(s, _op_runs(s, d)))
+
+
+@query
+def run_flush_full(s, d):
+    """Runs of buffers that are flushed when they hold BUFFER_KEYS different keys, one buffer a part of the keys."""
+    log = olog(s, d).withColumn("part", F.pmod(F.substring_index("key", ":", -1).cast("long"), F.lit(PARTS)).cast("int"))
+    cut = runs.flush_when_full(log, BUFFER_KEYS, "part")
+    return cut.groupBy("part", "run_id").agg(F.count("*").alias("n_entries"), F.min("key").alias("min_key"), F.max("key").alias("max_key"), F.max("seq").alias("max_seq"))
 
 
 @query
@@ -188,10 +226,8 @@ _hash_query("bloom_mur", mix_hash)
 
 
 def _run_files(s, d):
-    """Runs are files: written once, read by every part of a query."""
-    path = work_dir(s, "runs")
-    _runs(s, d).write.parquet(path)
-    return s.read.parquet(path)
+    """Run files whose records hold their filter bits, as the writer of a run has them."""
+    return _stored(s, with_bits(_runs(s, d)))
 
 
 @query
@@ -201,13 +237,13 @@ def bloom_build(s, d):
 
 def _next_keys(r):
     """Keys of each run asked in the run before it."""
-    return r.where("run_id > 0").select((F.col("run_id") - 1).alias("run_id"), "key")
+    return r.where("run_id > 0").withColumn("run_id", F.col("run_id") - 1)
 
 
 @query
 def bloom_probe(s, d):
     r = _run_files(s, d)
-    return probe.probe_filters(_next_keys(r), probe.filter_bits(r))
+    return probe.probe_filters(_next_keys(r), probe.filters(r))
 
 
 @query
@@ -215,16 +251,24 @@ def sparse_index(s, d):
     return probe.sparse_index(_runs(s, d))
 
 
+@query
+def index_text(s, d):
+    """The sparse index of run 0 as text lines and back."""
+    path = work_dir(s, "index")
+    files.write_index_text(probe.sparse_index(_runs(s, d).where("run_id = 0")), path)
+    return files.read_index_text(s, path)
+
+
 @query
 def index_floor(s, d):
-    r = _runs(s, d)
+    r = _stored(s, _runs(s, d))
     return probe.index_floor(_next_keys(r), probe.sparse_index(r))
 
 
 @query
 def run_probe(s, d):
     r = _run_files(s, d)
-    return probe.point_reads(_next_keys(r), r, probe.filter_bits(r), probe.sparse_index(r))
+    return probe.point_reads(_next_keys(r), r, probe.filters(r), probe.sparse_index(r))
 
 
 @query
@@ -257,6 +301,23 @@ def lru_hits(s, d):
     return cache.hits(oplog(s, d), CACHE_KEYS)
 
 
+@query
+def lru_ops(s, d):
+    """Caches of CACHE_PART_KEYS keys, one a part of the users: views are gets, errors deletes, all other events puts."""
+    e = table(s, d, "events")
+    op = F.when(F.col("event_type") == "view", "GET").when(F.col("event_type") == "error", "DELETE").otherwise("PUT")
+    ops = e.select(F.pmod("user_id", F.lit(PARTS)).cast("int").alias("part"), F.col("event_id").alias("seq"), op.alias("op"), F.col("user_id").cast("string").alias("key"))
+    return cache.replay(ops, CACHE_PART_KEYS, "part")
+
+
+@query
+def log_replay(s, d):
+    """State of a log that was written as JSON lines and read back."""
+    path = work_dir(s, "log")
+    files.write_log(oplog(s, d), path)
+    return state.live(files.read_log(s, path, LOG))
+
+
 def _log_files(s, d):
     """The log written as several files, as a stream source."""
     path = work_dir(s, "log")
@@ -275,4 +336,5 @@ def stream_latest(s, d):
 def stream_ttl_live(s, d):
     target = ExpiringState(s, work_dir(s, "expiring"))
     target.run(_log_files(s, d))
+    target.sweep(NOW_MS - 1)
     return ttl.live_at(target.entries(), NOW_MS)

@@ -39,7 +39,7 @@ _PROBE = f"""{_BITS}, asked AS (SELECT run_id-1 AS run_id, key FROM r WHERE run_
   pr AS (SELECT a.run_id, a.key, bool_and(b.bit IS NOT NULL) AS may_contain FROM asked a JOIN kb USING (key)
     LEFT JOIN bits b ON b.run_id=a.run_id AND b.bit=kb.bit GROUP BY 1,2)"""
 _INDEX = """sz AS (SELECT run_id, key, row_number() OVER (PARTITION BY run_id ORDER BY key) AS n,
-    13+strlen(key)+CASE WHEN strlen(value)>0 THEN 2+strlen(value) ELSE 0 END AS len FROM r),
+    12+strlen(key)+CASE WHEN strlen(key)<128 THEN 1 ELSE 2 END+CASE WHEN strlen(value)>0 THEN 1+strlen(value)+CASE WHEN strlen(value)<128 THEN 1 ELSE 2 END ELSE 0 END AS len FROM r),
   f AS (SELECT run_id, n, key, len, 0::BIGINT AS off, len::BIGINT AS acc, false AS ix FROM sz WHERE n=1
     UNION ALL SELECT s.run_id, s.n, s.key, s.len, f.off+f.len, CASE WHEN f.acc>4096 THEN s.len ELSE f.acc+s.len END, f.acc>4096
     FROM f JOIN sz s ON s.run_id=f.run_id AND s.n=f.n+1), ix AS (SELECT run_id, key, off AS "offset" FROM f WHERE ix)"""
@@ -94,3 +94,36 @@ ORACLE: dict[str, str] = {
 
 ORACLE["stream_latest"] = ORACLE["kv_latest"]
 ORACLE["stream_ttl_live"] = ORACLE["ttl_live"]
+
+_OP_RUNS = f"""{_O}, cut AS (SELECT *, (row_number() OVER (ORDER BY seq)-1)//1000 AS run_id FROM o WHERE op<>'PUT_TTL'),
+  r AS (SELECT run_id, key, seq, op, value FROM (SELECT *, row_number() OVER (PARTITION BY run_id, key ORDER BY seq DESC) AS rn FROM cut) WHERE rn=1)"""
+ORACLE["tiered_get_deleted"] = f"""WITH {_OP_RUNS}, n AS (SELECT count(DISTINCT run_id)-1 AS n FROM r),
+  m AS (SELECT run_id, CASE WHEN run_id=n THEN -1 ELSE CAST({_LEVEL} AS INTEGER) END AS level FROM (SELECT DISTINCT run_id FROM r), n),
+  w AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY level, run_id DESC) AS rn FROM r JOIN m USING (run_id))
+  SELECT key, level, run_id, seq, value FROM w WHERE rn=1 AND op<>'DELETE'"""
+ORACLE["compact_tiers"] = f"""WITH {_MEMBER}, g AS (SELECT r.*, level, run_id // CAST(pow(4,level) AS BIGINT) AS merged_run FROM r JOIN m USING (run_id))
+  SELECT level, merged_run, key, run_id, seq, value FROM (SELECT *, row_number() OVER (PARTITION BY level, merged_run, key ORDER BY run_id DESC) AS rn FROM g) WHERE rn=1"""
+ORACLE["compact_files"] = ORACLE["compact_newest"]
+ORACLE["log_replay"] = ORACLE["kv_latest"]
+ORACLE["index_text"] = f'WITH RECURSIVE {_RUNS}, {_INDEX} SELECT key, "offset" FROM ix WHERE run_id=0'
+ORACLE["run_flush_full"] = f"""WITH RECURSIVE {_L}, a AS (SELECT *, CAST(split_part(key, ':', 2) AS BIGINT)%8 AS part FROM l), b AS (SELECT *, row_number() OVER (PARTITION BY part ORDER BY seq) AS n FROM a),
+  f AS (SELECT part, 0::BIGINT AS n, []::VARCHAR[] AS held, 0::BIGINT AS run_id, 0::BIGINT AS next_run FROM (SELECT DISTINCT part FROM a)
+    UNION ALL SELECT f.part, b.n, CASE WHEN len(f.held) + CASE WHEN list_contains(f.held, b.key) THEN 0 ELSE 1 END >= 50 THEN [] WHEN list_contains(f.held, b.key) THEN f.held ELSE list_append(f.held, b.key) END,
+      f.next_run, f.next_run + CASE WHEN len(f.held) + CASE WHEN list_contains(f.held, b.key) THEN 0 ELSE 1 END >= 50 THEN 1 ELSE 0 END
+    FROM f JOIN b ON b.part=f.part AND b.n=f.n+1)
+  SELECT CAST(b.part AS INTEGER) AS part, run_id, count(DISTINCT key) AS n_entries, min(key) AS min_key, max(key) AS max_key, max(seq) AS max_seq FROM b JOIN f USING (part, n) GROUP BY 1, 2"""
+ORACLE["lru_ops"] = """WITH RECURSIVE a AS (SELECT user_id%8 AS part, event_id AS seq, user_id::VARCHAR AS key, CASE event_type WHEN 'view' THEN 'GET' WHEN 'error' THEN 'DELETE' ELSE 'PUT' END AS op FROM events),
+  b AS (SELECT *, row_number() OVER (PARTITION BY part ORDER BY seq) AS n FROM a),
+  f AS (SELECT part, 0::BIGINT AS n, []::VARCHAR[] AS c, 0::BIGINT AS gets, 0::BIGINT AS hits, 0::BIGINT AS evictions FROM (SELECT DISTINCT part FROM a)
+    UNION ALL SELECT f.part, b.n,
+      CASE WHEN op='DELETE' THEN list_filter(c, lambda x: x<>b.key) WHEN op='GET' THEN CASE WHEN list_contains(c, b.key) THEN list_append(list_filter(c, lambda x: x<>b.key), b.key) ELSE c END
+        WHEN list_contains(c, b.key) THEN list_append(list_filter(c, lambda x: x<>b.key), b.key) WHEN len(c)>=30 THEN list_append(c[2:], b.key) ELSE list_append(c, b.key) END,
+      gets + CASE WHEN op='GET' THEN 1 ELSE 0 END, hits + CASE WHEN op='GET' AND list_contains(c, b.key) THEN 1 ELSE 0 END,
+      evictions + CASE WHEN op='PUT' AND NOT list_contains(c, b.key) AND len(c)>=30 THEN 1 ELSE 0 END
+    FROM f JOIN b ON b.part=f.part AND b.n=f.n+1)
+  SELECT CAST(part AS INTEGER) AS part, gets, hits, evictions, len(c) AS size FROM f WHERE n=(SELECT max(n) FROM b WHERE b.part=f.part)"""
+_TEXT = "list_concat([strlen({0})//256, strlen({0})%256], list_transform(range(1, length({0})+1), lambda i: ascii(substr({0}, i, 1))::BIGINT))"
+ORACLE["wal_crc"] = f"""WITH {_O}, t AS (SELECT list(list_reduce(list_prepend(i, [0,0,0,0,0,0,0,0]::BIGINT[]), lambda c, b: CASE WHEN c&1=1 THEN xor(c>>1, 3988292384) ELSE c>>1 END) ORDER BY i) AS tab FROM range(256) r(i)),
+  d AS (SELECT seq, ts_ms - lag(ts_ms,1,0) OVER (ORDER BY seq) AS delta, key, coalesce(value, '') AS value FROM o),
+  p AS (SELECT seq, list_concat(list_transform(range(0, 8), lambda i: (delta >> (56-8*i)) & 255), list_concat({_TEXT.format('key')}, {_TEXT.format('value')})) AS bytes FROM d)
+  SELECT seq, xor(list_reduce(list_prepend(4294967295, bytes), lambda c, b: xor(c>>8, tab[(xor(c,b)&255)+1])), 4294967295) AS checksum FROM p, t"""

@@ -31,7 +31,8 @@ def write_runs(runs: DataFrame, path: str, mode: str = "overwrite") -> None:
 
 
 def read_runs(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(path)
+    """Records of all runs in a folder, with their run_id as a long."""
+    return spark.read.parquet(path).withColumn("run_id", F.col("run_id").cast("long"))
 
 
 def recover_catalog(spark: SparkSession, path: str) -> DataFrame:

@@ -71,7 +71,7 @@ def test_tier_levels_follow_a_simulation(spark, n):
             levels.setdefault(level, []).append(block)
     want = {r: lvl for lvl, blocks in levels.items() for b in blocks for r in b}
     ids = spark.range(n).withColumnRenamed("id", "run_id")
-    got = runs.tiers(ids, ids.agg(F.count("*").alias("n")))
+    got = runs.tiers(ids, n)
     assert {r.run_id: r.level for r in got.collect()} == want
 
 
@@ -120,7 +120,51 @@ def test_hashes_follow_signed_bytes(spark):
 
 def test_filters_have_no_false_negatives(spark):
     df = spark.range(3000).select((F.col("id") % 3).alias("run_id"), F.concat(F.lit("k"), F.col("id")).alias("key"), F.col("id").alias("seq"), F.lit("v").alias("value"))
-    assert probe.probe_filters(df.select("run_id", "key"), probe.filter_bits(df)).where("not may_contain").count() == 0
+    assert probe.probe_filters(df.select("run_id", "key"), probe.filters(df)).where("not may_contain").count() == 0
+
+
+def test_vectorised_hashes_are_the_expressions(spark):
+    import random
+
+    from siltstone.functions.hashing import bit_positions, with_bits
+
+    r = random.Random(2)
+    keys = ["", None, "a", "größe", "漢字", "x" * 511, "y" * 512, "z" * 5000, *("".join(chr(r.choice([65, 233, 0x3042, 0x1F600])) for _ in range(r.randint(0, 40))) for _ in range(50))]
+    df = spark.createDataFrame([(i, k, 7) for i, k in enumerate(keys)], "run_id long, key string, bits int")
+    for n in (10_000, 64):
+        got = {x.run_id: x.bits for x in with_bits(df, n).collect()}
+        want = {x.run_id: x.p for x in df.select("run_id", bit_positions(F.col("key"), n).alias("p")).collect()}
+        assert got == want
+    assert with_bits(df.limit(0)).count() == 0
+
+
+def test_probing_nulls_repeats_and_missing_runs(spark, collected):
+    runs_ = spark.createDataFrame([(1, "a", "v"), (1, None, "v"), (2, "", None)], "run_id long, key string, value string")
+    asked = spark.createDataFrame([(1, "a"), (1, "a"), (1, None), (2, ""), (9, "a")], "run_id long, key string")
+    assert collected(probe.probe_filters(asked, probe.filters(runs_))) == sorted([(1, "a", True), (1, None, False), (2, "", True), (9, "a", False)], key=repr)
+    got = collected(probe.point_reads(asked, runs_, probe.filters(runs_), probe.sparse_index(runs_)))
+    assert got == sorted([(1, "a", True, 0, "v"), (1, None, False, None, None), (2, "", True, 0, None), (9, "a", False, None, None)], key=repr)
+    assert probe.filters(runs_.limit(0)).count() == 0 and probe.sparse_index(runs_.limit(0)).count() == 0
+
+
+def test_record_lengths_and_index_over_batches(spark):
+    rows = [("k", "v"), ("k" * 127, "v" * 128), ("k" * 128, None), ("", ""), ("k", "v" * 20_000)]
+    df = spark.createDataFrame(rows, "key string, value string").select(probe.record_bytes().alias("n"))
+    assert [r.n for r in df.collect()] == [11 + 3 + 3, 11 + 2 + 127 + 3 + 128, 11 + 3 + 128, 11, 11 + 3 + 4 + 20_000]
+    long = spark.range(9000).selectExpr("id div 5000 as run_id", "lpad(cast(id as string), 6, '0') as key", "repeat('v', cast(id % 50 as int)) as value")
+    want, at, since, run = [], 0, 0, None
+    for r in long.orderBy("run_id", "key").collect():
+        if r.run_id != run:
+            run, at, since = r.run_id, 0, 0
+        if at - since > 4096:
+            want.append((r.run_id, r.key, at))
+            since = at
+        at += 11 + 8 + (2 + len(r.value) if r.value else 0)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "700")
+    try:
+        assert sorted(map(tuple, probe.sparse_index(long).collect())) == want
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
 
 
 def test_index_floor(spark, collected):
@@ -139,6 +183,95 @@ def test_ordinal_and_previous_across_blocks(spark):
     assert with_ordinal(df.limit(0), "seq").count() == 0
 
 
+def test_sparse_numbers_are_spread_over_blocks(spark):
+    """Order columns with great gaps: no task sees all rows, whatever the values are."""
+    from siltstone.functions import ordinal
+
+    df = spark.range(20_000).select((F.col("id") * F.lit(10**12) - F.lit(5 * 10**15)).alias("seq"), F.col("id").alias("v"))
+    tagged = ordinal._in_blocks(df, "seq", 1000)
+    sizes = [r["count"] for r in tagged.groupBy("__block").count().collect()]
+    assert len(sizes) >= 15 and max(sizes) < 3000
+    got = with_ordinal(df, "seq", block=1000)
+    assert got.where("ordinal <> v").count() == 0 and got.count() == 20_000
+    assert with_previous(df, "seq", "v", "p", F.lit(-1).cast("long"), block=1000).where("p <> v - 1").count() == 0
+
+
+def test_cache_replay_follows_gets_puts_and_deletes(spark, collected):
+    import random
+    from collections import OrderedDict
+
+    r = random.Random(8)
+    ops = [(r.choice([0, 1, None]), i, r.choice(["GET", "GET", "PUT", "DELETE", "NOOP", None]), r.choice([None, *"abcdefg"])) for i in range(600)]
+    want = []
+    for part in (0, 1, None):
+        lru, counts = OrderedDict(), [0, 0, 0]
+        mine = [o for o in ops if o[0] == part and o[2] in ("GET", "PUT", "DELETE") and o[3] is not None]
+        for _, _, op, k in mine:
+            if op == "GET":
+                counts[0] += 1
+                if k in lru:  # a miss does not fill the cache
+                    counts[1] += 1
+                    lru.move_to_end(k)
+            elif op == "DELETE":
+                lru.pop(k, None)  # and frees a place
+            else:
+                lru[k] = 1
+                lru.move_to_end(k)
+                if len(lru) > 3:
+                    lru.popitem(last=False)
+                    counts[2] += 1
+        want.append((part, *counts, len(lru)))
+    df = spark.createDataFrame(ops, "part int, seq long, op string, key string").repartition(5)
+    assert collected(cache.replay(df, 3, "part")) == sorted(want, key=repr)
+    assert cache.replay(df.limit(0), 3, "part").count() == 0
+
+
+def test_tombstones_end_tiered_reads(spark, collected):
+    rows = [(0, 1, "a", 1, "PUT", "old"), (4, 0, "a", 9, "DELETE", ""), (0, 1, "b", 2, "DELETE", ""), (5, -1, "b", 12, "PUT", "new"), (0, 1, "c", 3, "PUT", "kept"), (0, 1, "d", 3, None, "kept")]
+    df = spark.createDataFrame(rows, "run_id long, level int, key string, seq long, op string, value string")
+    assert collected(runs.tiered_get(df)) == [("b", -1, 5, 12, "new"), ("c", 1, 0, 3, "kept"), ("d", 1, 0, 3, "kept")]
+    assert "a" in {r.key for r in runs.tiered_get(df.drop("op")).collect()}
+
+
+def test_buffers_are_flushed_when_full(spark, collected):
+    rows = [(0, i, k, str(i)) for i, k in enumerate("aabacdaae")] + [(1, i, k, "v") for i, k in enumerate("xyz")] + [(0, 99, None, "v"), (0, None, "k", "v")]
+    df = spark.createDataFrame(rows, "part int, seq long, key string, value string")
+    got = collected(runs.flush_when_full(df, 3, "part").select("part", "run_id", "key", "seq"))
+    assert got == [(0, 0, "a", 3), (0, 0, "b", 2), (0, 0, "c", 4), (0, 1, "a", 7), (0, 1, "d", 5), (0, 1, "e", 8), (1, 0, "x", 0), (1, 0, "y", 1), (1, 0, "z", 2)]
+
+
+def test_compaction_promotes_over_levels(spark):
+    """Merged runs of every level equal merging round by round."""
+    df = spark.range(2000).selectExpr("id % 37 as run_id", "concat('k', cast(id % 101 as string)) as key", "id as seq", "cast(id as string) as value").dropDuplicates(["run_id", "key"])
+    levels = {0: []}
+    for run in range(37):
+        held = {r.key: (run, r.seq, r.value) for r in df.where(f"run_id = {run}").collect()} if run < 6 or run % 9 == 0 else None
+        levels.setdefault(0, []).append((run, run, held))
+        level = 0
+        while len(levels[level]) == 4:
+            four, levels[level] = levels[level], []
+            merged = None if any(x[2] is None for x in four) else {k: v for x in four for k, v in x[2].items()}
+            level += 1
+            levels.setdefault(level, []).append((four[0][0], four[-1][1], merged))
+    got = runs.compact_tiers(df, 37).collect()
+    for level, held in levels.items():
+        for low, high, keys in held:
+            mine = [r for r in got if r.level == level and r.merged_run == low // 4**level]
+            assert {r.run_id for r in mine} <= set(range(low, high + 1)) and len({r.key for r in mine}) == len(mine)
+            if keys is not None:
+                assert {r.key: (r.run_id, r.seq, r.value) for r in mine} == keys
+
+
+def test_random_sample_and_log_files(spark, tmp_path, collected):
+    e = spark.range(1000).selectExpr("cast(id as string) as key", "'v' as value", "id as expiry_ms")
+    got = ttl.sample_random(e, 0.02, 3)
+    assert 5 <= got.count() <= 60 and got.join(e, "key", "left_anti").count() == 0
+    log = spark.createDataFrame([(1, "a", None), (2, None, "x")], "seq long, key string, value string")
+    files.write_log(log, str(tmp_path / "log"))
+    files.write_log(log, str(tmp_path / "log"))
+    assert collected(files.read_log(spark, str(tmp_path / "log"), log.schema)) == sorted([*map(tuple, log.collect())] * 2, key=repr)
+
+
 def test_checksum(spark):
     df = spark.createDataFrame([(1, 5, "k", "v"), (2, 9, "größe", None)], "seq long, ts_ms long, key string, value string")
     got = {r.seq: r.checksum for r in wal.with_checksum(df).collect()}
@@ -202,10 +335,32 @@ def test_full_merge_is_replay_and_grouping_does_not_matter(spark, data, collecte
 def test_level_occupancy_counts_all_runs(spark):
     for n in (1, 7, 30, 64):
         ids = spark.range(n).withColumnRenamed("id", "run_id")
-        occ = runs.occupancy(runs.tiers(ids, ids.agg(F.count("*").alias("n")))).collect()
+        occ = runs.occupancy(runs.tiers(ids, n)).collect()
         assert sum(4**r.level * r.n_runs for r in occ) == n
 
 
+def test_expired_entries_leave_the_state(spark, tmp_path, collected):
+    from siltstone.streaming.oplog import ExpiringState, log_stream
+
+    path, schema = f"file://{tmp_path}/log", "seq long, ts_ms long, op string, key string, value string, expiry_ms long"
+    t = ExpiringState(spark, f"file://{tmp_path}/state")
+    parts = [[(1, 0, "PUT_TTL", "a", "1", 10), (5, 0, "PUT_TTL", "b", "2", 20), (6, 0, "PUT_TTL", "n", None, None)], [(0, 0, "PUT_TTL", "a", "older", 99), (7, 0, "PUT", "b", "plain", None)], [(8, 0, "PUT_TTL", "a", "again", 50)]]
+    seen = []
+    for part in parts:
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(path)
+        t.run(log_stream(spark, path))
+        t.sweep(10)
+        seen.append(collected(t.entries()))
+    kept = [("b", "2", 20), ("n", None, None)]
+    assert seen == [kept, kept, sorted([("a", "again", 50), *kept], key=repr)]
+    t.sweep(20)
+    assert t.table.state().where("not is_put and value is null").count() == 1
+    t.forget(5)
+    assert t.table.state().where("not is_put").count() == 1
+    t.forget(6)
+    assert t.table.state().where("not is_put").count() == 0 and t.entries().count() == 2
+
+
 def test_late_and_repeated_batches_of_a_stream(spark, tmp_path, collected):
     from siltstone.streaming.oplog import LatestState, log_stream
 
