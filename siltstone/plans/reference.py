@@ -98,8 +98,12 @@ def _runs(s, d):
     return runs.flush(olog(s, d), RUN_OPS)
 
 
+def _plain(s, d):
+    return oplog(s, d).where("op <> 'PUT_TTL'")
+
+
 def _op_runs(s, d):
-    return runs.flush(oplog(s, d).where("op <> 'PUT_TTL'"), RUN_OPS, keep=("op", "value"))
+    return runs.flush(_plain(s, d), RUN_OPS, keep=("op", "value"))
 
 
 @query
@@ -134,14 +138,14 @@ def compact_purge(s, d):
     return runs.merge_tiers(_op_runs(s, d))
 
 
-def _flushes(r):
-    """Number of the last run, the write buffer, i.e. of the flushes before it: one row."""
-    return r.agg(F.max("run_id")).first()[0] or 0
+def _flushes(log):
+    """Number of the last run, the write buffer, i.e. of the flushes before it; from file footers."""
+    return max(0, log.count() - 1) // RUN_OPS
 
 
 def _membership(s, d):
-    ids = _runs(s, d).select("run_id").distinct()
-    return runs.tiers(ids, ids.count())
+    n = _flushes(olog(s, d)) + 1
+    return runs.tiers(_runs(s, d).select("run_id").distinct(), n)
 
 
 @query
@@ -156,8 +160,7 @@ def tier_levels(s, d):
 
 @query
 def compact_tiers(s, d):
-    r = _stored(s, _runs(s, d))
-    return runs.compact_tiers(r, _flushes(r) + 1)
+    return runs.compact_tiers(_runs(s, d), _flushes(olog(s, d)) + 1)
 
 
 @query
@@ -175,27 +178,25 @@ def _stored(s, r):
     return s.read.parquet(path)
 
 
-def _tiered(s, r):
+def _tiered(r, buffer):
     """Runs with their level; the last run is the write buffer, level -1."""
-    r = _stored(s, r)
-    buffer = _flushes(r)
     return r.withColumn("level", F.when(F.col("run_id") == buffer, -1).otherwise(runs.level_of("run_id", buffer)))
 
 
 @query
 def tiered_get(s, d):
-    return runs.tiered_get(_tiered(s, _runs(s, d)))
+    return runs.tiered_get(_tiered(_runs(s, d), _flushes(olog(s, d))))
 
 
 @query
 def tiered_get_as_coded(s, d):
-    return runs.tiered_get(_tiered(s, _runs(s, d)), newest=False)
+    return runs.tiered_get(_tiered(_runs(s, d), _flushes(olog(s, d))), newest=False)
 
 
 @query
 def tiered_get_deleted(s, d):
     """Tiered reads over runs that hold tombstones."""
-    return runs.tiered_get(_tiered(s, _op_runs(s, d)))
+    return runs.tiered_get(_tiered(_op_runs(s, d), _flushes(_plain(s, d))))
 
 
 @query

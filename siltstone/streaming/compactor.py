@@ -4,7 +4,7 @@ The stream source discovers each file once and notes it in its checkpoint; every
 written to a folder named by its batch number and attempt. A manifest, switched by one rename, says which folders hold the data, so
 readers see a batch's former attempt until a retry has been written whole. A record is the triple (store_id, run_id, key):
 repeated rows and copies in other files of the batch are reduced to one, and records that earlier batches hold are left out.
-Files are sorted by (store_id, run_id, key) and sized by bytes. Beside each folder lies a list of the blocks of runs that its
+Files are sorted by (store_id, run_id, key) and sized by bytes. When a later batch comes, each folder gets a list of the blocks of runs that its
 files hold; a batch is compared only with files that hold one of its own blocks. Where batches themselves are small, ``settle``, which every run
 ends with, brings them together.
 
@@ -74,7 +74,7 @@ class Compactor:
         return (df.limit(WIDTH_ROWS).agg(F.avg(F.octet_length(F.to_json(F.struct(*df.columns))))).first()[0] or 0) / 2
 
     def _save(self, df: DataFrame, rows: int, folder: str) -> dict | None:
-        """Write a folder and the list of its blocks; what was written, or None if it was nothing. ``rows`` is an upper bound."""
+        """Write a folder; what was written, or None if it was nothing. ``rows`` is an upper bound."""
         size = rows * self._width(df)
         # an exchange even for one file, so that the step before it keeps its tasks
         n = max(1, -(-rows // self.file_rows), int(-(-size // self.file_bytes)))
@@ -85,8 +85,6 @@ class Compactor:
         if not rows:
             delete_path(self.spark, path)
             return None
-        blocks = written.select(_file().alias("file"), "store_id", whole_div("run_id", BLOCK_RUNS).alias("block")).distinct()
-        blocks.coalesce(1).write.mode("overwrite").parquet(f"{self.target}/blocks/{folder}")
         fs, p = hadoop_path(self.spark, path)
         return {"folder": folder, "rows": rows, "bytes": fs.getContentSummary(p).getLength()}
 
@@ -95,6 +93,12 @@ class Compactor:
         folders = sorted({p["folder"] for p in parts.values()})
         if not folders:
             return []
+        for f in folders:
+            # the list of a folder is made when it is first asked for, from two columns, and kept
+            if "_SUCCESS" not in list_names(self.spark, f"{self.target}/blocks/{f}"):
+                data = self.spark.read.schema(self.schema).parquet(f"{self.target}/data/{f}")
+                blocks = data.select(_file().alias("file"), F.col("store_id").cast("int").alias("store_id"), whole_div("run_id", BLOCK_RUNS).alias("block")).distinct()
+                blocks.coalesce(1).write.mode("overwrite").parquet(f"{self.target}/blocks/{f}")
         held = self.spark.read.schema("file string, store_id int, block long").parquet(*(f"{self.target}/blocks/{f}" for f in folders))
         mine = df.na.drop(subset=["store_id", "run_id"]).select(F.col("store_id").cast("int").alias("store_id"), whole_div("run_id", BLOCK_RUNS).alias("block")).distinct()
         return sorted(r.file for r in held.join(mine, ["store_id", "block"], "left_semi").select("file").distinct().toLocalIterator())
