@@ -21,15 +21,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 BUCKETS, SLOTS, CELLS = 2048, 8, 65_536
 EVICT = 8
-#: Splits are joined (without a shuffle) into at most so many sketches.
-MAX_SKETCHES = 1024
 #: Ranges of the sketch that are merged apart from each other.
 BLOCKS = 16
+#: Splits whose sketches are merged by one task; the merged ones are merged in turn.
+FAN_IN = 256
 
 
 class HeavyLight:
@@ -108,20 +109,20 @@ class HeavyLight:
 def _sketches(keys: DataFrame, shape: tuple[int, int, int]) -> DataFrame:
     """Blocks of merged sketches: (block, value, votes, partial, against, light) as packed arrays."""
     hashed = keys.select(F.xxhash64("key").alias("h"))
-    if hashed.rdd.getNumPartitions() > MAX_SKETCHES:
-        hashed = hashed.coalesce(MAX_SKETCHES)
-    schema = "block int, value binary, votes binary, partial binary, against binary, light binary"
+    schema = "block int, part int, value binary, votes binary, partial binary, against binary, light binary"
     _, slots, all_cells = shape
     per, cells = shape[0] // BLOCKS, all_cells // BLOCKS
 
-    def pack(s: HeavyLight, blocks: range) -> pa.RecordBatch:
+    names = ["block", "part", "value", "votes", "partial", "against", "light"]
+
+    def pack(s: HeavyLight, blocks: range, split: int) -> pa.RecordBatch:
         parts = [
             (k, s.value[lo:hi].tobytes(), s.votes[lo:hi].tobytes(), s.partial[lo:hi].tobytes(), s.against[lo:hi].tobytes(), s.light[k * cells : (k + 1) * cells].tobytes())
             for k in blocks
             for lo, hi in [(k * per, (k + 1) * per)]
         ]
         cols = list(zip(*parts))
-        return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), *(pa.array(c, pa.binary()) for c in cols[1:])], names=["block", "value", "votes", "partial", "against", "light"])
+        return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), pa.array([split] * len(parts), pa.int32()), *(pa.array(c, pa.binary()) for c in cols[1:])], names=names)
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         s, any_ = HeavyLight(*shape), False
@@ -130,28 +131,32 @@ def _sketches(keys: DataFrame, shape: tuple[int, int, int]) -> DataFrame:
                 any_ = True
                 s.add(*np.unique(b.column(0).to_numpy(), return_counts=True))
         if any_:
-            yield pack(s, range(BLOCKS))
+            yield pack(s, range(BLOCKS), TaskContext.get().partitionId() // FAN_IN)
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Merge the blocks of one range; what falls out of its buckets goes to a light array of all cells."""
-        done: dict[int, HeavyLight] = {}
+        """Merge the sketches of one range and group; what falls out of its buckets goes to a light array of all cells."""
+        done: dict[tuple[int, int], HeavyLight] = {}
         for b in batches:
-            for block, value, votes, partial, against, light in zip(*(c.to_pylist() for c in b.columns)):
-                s = done.get(block) or done.setdefault(block, HeavyLight(*shape))
+            for block, group, value, votes, partial, against, light in zip(*(c.to_pylist() for c in b.columns)):
+                s = done.get((block, group)) or done.setdefault((block, group), HeavyLight(*shape))
                 part = (per, slots)
                 s.merge(
                     np.frombuffer(value, np.int64).reshape(part), np.frombuffer(votes, np.int64).reshape(part), np.frombuffer(partial, bool).reshape(part),
                     np.frombuffer(against, np.int64), np.zeros(0, np.int64), first=block * per,
                 )
-                s.light[block * cells : (block + 1) * cells] += np.frombuffer(light, np.int64)
-        for block, s in done.items():
+                got = np.frombuffer(light, np.int64)
+                # a split's sketch brings its range of the light cells, a merged one all of them
+                cut = slice(block * cells, (block + 1) * cells) if len(got) < all_cells else slice(None)
+                s.light[cut] += got
+        for (block, group), s in done.items():
             lo, hi = block * per, (block + 1) * per
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([block], pa.int32()), *(pa.array([x.tobytes()], pa.binary()) for x in (s.value[lo:hi], s.votes[lo:hi], s.partial[lo:hi], s.against[lo:hi], s.light))],
-                names=["block", "value", "votes", "partial", "against", "light"],
-            )
+            arrays = (x.tobytes() for x in (s.value[lo:hi], s.votes[lo:hi], s.partial[lo:hi], s.against[lo:hi], s.light))
+            yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([group // FAN_IN], pa.int32()), *(pa.array([x], pa.binary()) for x in arrays)], names=names)
 
-    return hashed.mapInArrow(build, schema).repartition(BLOCKS, "block").mapInArrow(join, schema)
+    # three rounds bring 256 ** 3 splits together; where there are few, all but the first are trivial
+    first = hashed.mapInArrow(build, schema).repartition("block", "part").mapInArrow(join, schema)
+    second = first.repartition("block", "part").mapInArrow(join, schema)
+    return second.repartition(BLOCKS, "block").withColumn("part", F.lit(0)).mapInArrow(join, schema)
 
 
 def sketch(keys: DataFrame, shape: tuple[int, int, int] = (BUCKETS, SLOTS, CELLS)) -> HeavyLight:

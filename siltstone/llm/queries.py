@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from siltstone.llm import contamination, distinct, frequent, seen, spam, tokenize
 from siltstone.session import work_dir
@@ -23,6 +24,12 @@ def p2_error_rate(spark: SparkSession, d: str) -> DataFrame:
     return seen.error_report(_probed(spark, d))
 
 
+def p2_totals(spark: SparkSession, d: str) -> DataFrame:
+    """How many keys of generations were probed, and how many of them were unseen, as the filters and the check after them tell."""
+    report = seen.error_report(_probed(spark, d))
+    return report.agg(F.coalesce(F.sum("probes"), F.lit(0)).alias("probes"), F.coalesce(F.sum("unseen"), F.lit(0)).alias("unseen"))
+
+
 def _patterns(spark: SparkSession, d: str) -> DataFrame:
     return distinct.patterns(distinct.memberships(table(spark, d, "sst_write")))
 
@@ -49,6 +56,11 @@ def p6_counts(spark: SparkSession, d: str) -> DataFrame:
     return frequent.most_frequent(table(spark, d, "log_entry"))
 
 
+def p6_exact(spark: SparkSession, d: str) -> DataFrame:
+    """The same keys with their exact counts."""
+    return frequent.most_frequent(table(spark, d, "log_entry")).select("key", "n")
+
+
 def p7_ids(spark: SparkSession, d: str) -> DataFrame:
     """Token ids of every document."""
     return tokenize.encode_corpus(table(spark, d, "documents"))
@@ -78,7 +90,7 @@ def p9_scores(spark: SparkSession, d: str) -> DataFrame:
     return spam.score_pages(table(spark, d, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_error_rate, p5_found, p5_counts, p6_found, p6_counts, p7_ids, p8_found, p8_spans, p9_found, p9_scores)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_error_rate, p2_totals, p5_found, p5_counts, p6_found, p6_counts, p6_exact, p7_ids, p8_found, p8_spans, p9_found, p9_scores)}
 
 _SST = """r AS (SELECT DISTINCT key, strftime(make_timestamp("timestamp"*1000), '%Y-%m-%d') AS day, store_id, level FROM sst_write
   WHERE key IS NOT NULL AND "timestamp" IS NOT NULL AND "timestamp" <> 0)"""
@@ -87,6 +99,10 @@ ORACLE: dict[str, str] = {
     "p2_found": """WITH o AS (SELECT store_id, run_id, key FROM sst_write UNION ALL SELECT store_id, run_id, key FROM index_entry),
       f AS (SELECT store_id, key, min(run_id) AS r0 FROM o WHERE key IS NOT NULL AND store_id IS NOT NULL AND run_id IS NOT NULL GROUP BY 1,2)
       SELECT DISTINCT s.store_id, s.run_id, s.key FROM sst_write s JOIN f USING (store_id, key) WHERE s.run_id > f.r0""",
+    "p2_totals": """WITH o AS (SELECT store_id, run_id, key FROM sst_write UNION ALL SELECT store_id, run_id, key FROM index_entry),
+      w AS (SELECT greatest(64, (max(run_id)-min(run_id)+1+31)//32) AS width FROM o), k AS (SELECT DISTINCT store_id, key, run_id//width AS gen FROM o, w WHERE key IS NOT NULL AND store_id IS NOT NULL AND run_id IS NOT NULL)
+      SELECT count(*) AS probes, count(DISTINCT (store_id, key)) AS unseen FROM k""",
+    "p6_exact": "SELECT key, count(*) AS n FROM log_entry WHERE key IS NOT NULL GROUP BY key ORDER BY count(*) DESC, key LIMIT 30",
     "p6_found": "SELECT key FROM log_entry WHERE key IS NOT NULL GROUP BY key ORDER BY count(*) DESC, key LIMIT 30",
     "p5_found": f"""WITH {_SST}, c AS (SELECT day, store_id, level, count(DISTINCT key) AS n FROM r GROUP BY 1,2,3
         UNION ALL SELECT day, store_id, -1, count(DISTINCT key) FROM r GROUP BY 1,2)

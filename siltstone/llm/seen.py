@@ -1,9 +1,10 @@
 """Has this key been seen before? Immutable fingerprint filters over sealed generations.
 
-Runs are taken in generations of consecutive run ids. Within a shard of keys the generations
+Runs are taken in generations of consecutive run ids. Within a cell of keys the generations
 pass in order: each record is probed against the filters of all sealed generations, keys of
 the current generation are handled exactly, and then the generation is sealed into a filter
-of about 20 bits a key, built by peeling. Earlier keys themselves are not kept.
+of about 20 bits a key, built by peeling. Filters are written, so that later batches read them in place of
+earlier keys, which are not kept.
 
 A filter has no false negatives. It answers yes for an unseen key with probability 2**-16, so
 with g sealed generations the answer is wrong at a rate of 1 - (1 - 2**-16)**g. ``verify`` then
@@ -16,21 +17,24 @@ earlier occurrence: only a smaller run id is. No rows give no records. Further c
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from siltstone.functions.ordinal import whole_div
+from siltstone.session import list_names, publish, published
 
 RECORD = ("store_id", "run_id", "key")
 FINGERPRINT_BITS = 16
 #: Least width of a generation in runs, and how many generations there may be at most.
 GENERATION_RUNS, GENERATIONS = 64, 32
-#: Occurrences aimed at per shard; bounds a worker's filters.
-SHARD_ROWS = 2_000_000
+#: Occurrences aimed at per cell; bounds the filters a worker holds. How many times the first batch may grow before cells hold more.
+SHARD_ROWS, GROWTH = 2_000_000, 16
 
 _M1, _M2 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
 
@@ -93,6 +97,16 @@ class PeeledFilter:
             alone = touched[count[touched] == 1]
         return None if left else order
 
+    def dump(self) -> bytes:
+        return np.array([self.n, self.block, self.seed], dtype=np.uint64).tobytes() + self.slots.tobytes()
+
+    @classmethod
+    def load(cls, data: bytes) -> PeeledFilter:
+        made = cls.__new__(cls)
+        made.n, made.block, made.seed = np.frombuffer(data, np.uint64, 3).tolist()
+        made.slots = np.frombuffer(data, np.uint16, offset=24)
+        return made
+
     def __contains__(self, h: int) -> bool:
         return bool(self.probe(np.array([h], dtype=np.int64))[0])
 
@@ -114,61 +128,120 @@ def occurrences(records: DataFrame, others: DataFrame | None, width: int) -> Dat
     return rows.groupBy("store_id", "key", "gen").agg(F.min("run_id").alias("min_run"), F.collect_set(F.when(F.col("is_record"), F.col("run_id"))).alias("runs"))
 
 
-def probe_generations(occ: DataFrame, shards: int) -> DataFrame:
-    """Add ``seen`` (a sealed generation's filter holds the key) and ``filters`` (how many were asked)."""
-    src = occ.withColumn("hash", F.xxhash64("store_id", "key")).repartition(shards, "store_id", "key").sortWithinPartitions("gen")
-    gen_at, hash_at = src.columns.index("gen"), src.columns.index("hash")
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in src.schema) + ", seen boolean, filters int"
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sealed: list[PeeledFilter] = []
-        current: list[np.ndarray] = []
-        gen = None
-        for b in batches:
-            gens = b.column(gen_at).to_numpy(zero_copy_only=False)
-            hashes = b.column(hash_at).to_numpy(zero_copy_only=False)
-            seen = np.zeros(b.num_rows, dtype=bool)
-            asked = np.zeros(b.num_rows, dtype=np.int32)
-            cuts = [0, *(np.flatnonzero(gens[1:] != gens[:-1]) + 1).tolist(), b.num_rows]
-            for lo, hi in zip(cuts, cuts[1:]):
-                if lo == hi:
-                    continue
-                if gens[lo] != gen:
-                    if current:
-                        sealed.append(PeeledFilter(np.concatenate(current)))
-                    gen, current = gens[lo], []
-                part = hashes[lo:hi]
-                for f in sealed:
-                    seen[lo:hi] |= f.probe(part)
-                asked[lo:hi] = len(sealed)
-                current.append(part)
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(seen), pa.array(asked)], names=[*b.schema.names, "seen", "filters"])
-
-    return src.mapInArrow(run, schema)
+class SeenKeys:
+    """Sealed filters of all batches so far in a shared folder, for one writer: a new batch reads filters, never earlier keys.
 
+    Keys are divided into cells by hash. A filter belongs to one cell and generation; a task takes its cells one by one, so it
+    holds the filters of one cell at a time. The first call sets the number of cells, with room for ``GROWTH`` times its rows.
+    """
 
-def probed(records: DataFrame, others: DataFrame | None, path: str) -> DataFrame:
-    """Probe all generations and write the answers to ``path``, from where they are read again.
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path
+
+    def _filters(self, now: dict) -> DataFrame:
+        sealed = [f"{self.path}/{b}/sealed=true" for b in now["batches"] if now["batches"][b]]
+        return self.spark.read.schema("cell int, gen long, filter binary").parquet(*sealed) if sealed else self.spark.createDataFrame([], "cell int, gen long, filter binary")
+
+    def apply(self, records: DataFrame, others: DataFrame | None = None) -> DataFrame:
+        """Probe a batch of records, seal its generations, and return the answers.
+
+        Batches must come in the order of their runs: a batch with a run that is not beyond all sealed ones raises ValueError, since a filter
+        cannot tell which of its runs held a key. Within a batch runs may come in any order. A call that fails leaves the sealed filters as they were.
+        """
+        now = published(self.spark, self.path)
+        both = records.select("run_id") if others is None else records.select("run_id").union(others.select("run_id"))
+        low, high, n = both.agg(F.min("run_id"), F.max("run_id"), F.count("*")).first()
+        if now is None:
+            span = 0 if low is None else high - low + 1
+            cells = max(int(self.spark.conf.get("spark.sql.shuffle.partitions")), -(-n * GROWTH // SHARD_ROWS) if n > SHARD_ROWS else 0)
+            now = {"cells": cells, "width": max(GENERATION_RUNS, -(-span // GENERATIONS)), "last": None, "batches": {}}
+        elif low is not None and now["last"] is not None and low <= now["last"]:
+            raise ValueError(f"run {low} is not beyond the sealed run {now['last']}")
+        batch = f"batch-{len(now['batches']):06d}-{uuid.uuid4().hex[:12]}"
+        occ = occurrences(records, others, now["width"])
+        self._probe(occ, now).write.partitionBy("sealed").parquet(f"{self.path}/{batch}")
+        any_ = "sealed=true" in list_names(self.spark, f"{self.path}/{batch}")
+        last = max([x for x in (now["last"], high) if x is not None], default=None)
+        publish(self.spark, self.path, batch, cells=now["cells"], width=now["width"], last=last, batches={**now["batches"], batch: any_})
+        return self._answers(batch if any_ else None)
+
+    def _answers(self, batch: str | None) -> DataFrame:
+        schema = "store_id int, key string, gen long, min_run long, runs array<long>, seen boolean, filters int"
+        return self.spark.read.schema(schema).parquet(f"{self.path}/{batch}/sealed=false") if batch else self.spark.createDataFrame([], schema)
+
+    def _probe(self, occ: DataFrame, now: dict) -> DataFrame:
+        """Answers (sealed false) and the filters of the batch's own generations (sealed true), in one pass over each cell."""
+        cells = now["cells"]
+        hashed = occ.withColumn("hash", F.xxhash64("store_id", "key")).withColumn("cell", F.pmod(F.shiftrightunsigned("hash", 8), F.lit(cells)).cast("int")).withColumn("rank", F.lit(1))
+        rows = hashed.unionByName(self._filters(now).withColumn("rank", F.lit(0)), allowMissingColumns=True)
+        columns = ["cell", "rank", "gen", "filter", "hash", "store_id", "key", "min_run", "runs"]
+        # earlier filters come first in their cell, then the batch's generations in order
+        src = rows.select(*columns).repartitionById(cells, "cell").sortWithinPartitions("cell", "rank", "gen")
+        kinds = {f.name: f.dataType for f in src.schema}
+        out = ["store_id", "key", "gen", "min_run", "runs", "seen", "filters", "cell", "filter", "sealed"]
+        schema = ", ".join(f"{c} {kinds[c].simpleString()}" for c in out[:5]) + ", seen boolean, filters int, cell int, filter binary, sealed boolean"
+        arrow = [to_arrow_type(kinds[c]) for c in out[:5]] + [pa.bool_(), pa.int32(), pa.int32(), pa.binary(), pa.bool_()]
+
+        def batch_of(**given: pa.Array) -> pa.RecordBatch:
+            n = len(next(iter(given.values())))
+            return pa.RecordBatch.from_arrays([given[c].cast(t) if c in given else pa.nulls(n, t) for c, t in zip(out, arrow)], names=out)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            sealed: list[PeeledFilter] = []
+            current: list[np.ndarray] = []
+            cell, gen = None, None
+
+            def seal() -> Iterator[pa.RecordBatch]:
+                if current:
+                    made = PeeledFilter(np.concatenate(current))
+                    sealed.append(made)
+                    current.clear()
+                    yield batch_of(cell=pa.array([cell]), gen=pa.array([gen]), filter=pa.array([made.dump()]), sealed=pa.array([True]))
+
+            for b in batches:
+                at = {c: b.column(i) for i, c in enumerate(columns)}
+                place = np.stack([at[c].to_numpy(zero_copy_only=False).astype(np.int64) for c in ("cell", "rank", "gen")])
+                hashes = at["hash"].fill_null(0).to_numpy(zero_copy_only=False)
+                cuts = [0, *(np.flatnonzero((place[:, 1:] != place[:, :-1]).any(0)) + 1).tolist(), b.num_rows]
+                for lo, hi in zip(cuts, cuts[1:]):
+                    if lo == hi:
+                        continue
+                    c, rank, g = place[:, lo].tolist()
+                    if c != cell:
+                        yield from seal()
+                        sealed, cell, gen = [], c, None
+                    if rank == 0:
+                        sealed += [PeeledFilter.load(x) for x in at["filter"].slice(lo, hi - lo).to_pylist()]
+                        continue
+                    if g != gen:
+                        yield from seal()
+                        gen = g
+                    part = hashes[lo:hi]
+                    seen = np.zeros(hi - lo, dtype=bool)
+                    for f in sealed:
+                        seen |= f.probe(part)
+                    current.append(part)
+                    kept = {k: at[k].slice(lo, hi - lo) for k in out[:5]}
+                    yield batch_of(**kept, seen=pa.array(seen), filters=pa.array(np.full(hi - lo, len(sealed), dtype=np.int32)), sealed=pa.array(np.zeros(hi - lo, dtype=bool)))
+            yield from seal()
+
+        return src.mapInArrow(run, schema)
 
-    Generation width follows the range of run ids (one aggregate), the number of shards the
-    number of rows (file footers).
-    """
-    spark = records.sparkSession
-    both = records.select("run_id") if others is None else records.select("run_id").union(others.select("run_id"))
-    low, high, n = both.agg(F.min("run_id"), F.max("run_id"), F.count("*")).first()
-    span = 0 if low is None else high - low + 1
-    width = max(GENERATION_RUNS, -(-span // GENERATIONS))
-    shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n // SHARD_ROWS))
-    probe_generations(occurrences(records, others, width), shards).write.mode("overwrite").parquet(path)
-    return spark.read.parquet(path)
+
+def probed(records: DataFrame, others: DataFrame | None, path: str) -> DataFrame:
+    """Answers of one batch, the first of the table of sealed filters in ``path``."""
+    return SeenKeys(records.sparkSession, path).apply(records, others)
 
 
 def verify(answers: DataFrame) -> DataFrame:
-    """Flagged occurrences with ``right``: whether an earlier generation really holds the key. Only keys that are flagged are looked up."""
-    flagged = answers.where("seen")
-    keys = flagged.select("store_id", "key").distinct()
-    first = answers.join(keys, ["store_id", "key"], "left_semi").groupBy("store_id", "key").agg(F.min("gen").alias("first_gen"))
-    return flagged.join(first, ["store_id", "key"]).withColumn("right", F.col("first_gen") < F.col("gen")).drop("first_gen")
+    """Flagged occurrences with ``right``: whether an earlier generation really holds the key.
+
+    One exchange and no join: a key's rows, one per generation, meet in an aggregate, of which unflagged ones leave only their generation.
+    """
+    rest = [c for c in answers.columns if c not in ("store_id", "key")]
+    held = answers.groupBy("store_id", "key").agg(F.min("gen").alias("first_gen"), F.collect_list(F.when(F.col("seen"), F.struct(*rest))).alias("flagged"))
+    each = held.select("store_id", "key", "first_gen", F.explode("flagged").alias("f")).select("store_id", "key", "first_gen", "f.*")
+    return each.withColumn("right", F.col("first_gen") < F.col("gen")).drop("first_gen")
 
 
 def seen_records(answers: DataFrame) -> DataFrame:

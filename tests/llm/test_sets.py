@@ -162,3 +162,39 @@ def test_one_key_in_thousands_of_groups(spark):
         return best
 
     assert took(40_000) < 4 * took(20_000) + 1
+
+
+def test_a_later_batch_reads_filters_only(spark, tmp_path, collected):
+    import shutil
+
+    path = tmp_path / "seen"
+    keys = seen.SeenKeys(spark, f"file://{path}")
+    schema = "store_id int, run_id long, key string"
+    first = spark.createDataFrame([(s, r, f"k{s}-{r % 50}") for s in (1, 2) for r in range(300)], schema)
+    a = keys.apply(first)
+    assert a.where("not seen").count() == 100
+    # nothing of the first batch is left but its filters
+    kept = {f.name for f in path.glob("batch-*/sealed=true/*.parquet")}
+    for f in path.glob("batch-*/sealed=false"):
+        shutil.rmtree(f)
+    bits = sum((path / f.parent.parent.name / f.parent.name / f.name).stat().st_size for f in path.glob("batch-*/sealed=true/*.parquet"))
+    assert kept and bits < 64_000
+    second = spark.createDataFrame([(1, 300, "k1-7"), (1, 301, "k2-7"), (2, 400, "k2-7"), (2, 401, "fresh"), (1, 999, "fresh"), (1, 999, "fresh"), (1, 1000, None)], schema)
+    b = {(r.store_id, r.key): r.seen for r in keys.apply(second, None).collect()}
+    assert b == {(1, "k1-7"): True, (1, "k2-7"): False, (2, "k2-7"): True, (2, "fresh"): False, (1, "fresh"): False}
+    with pytest.raises(ValueError):
+        keys.apply(second)
+    assert keys.apply(second.limit(0)).count() == 0
+    third = keys.apply(spark.createDataFrame([(1, 2000, "fresh"), (3, 2000, "fresh")], schema))
+    assert {(r.store_id, r.seen) for r in third.collect()} == {(1, True), (3, False)}
+    assert {r.filters for r in third.collect()} <= set(range(1, 12))
+
+
+def test_sketches_of_many_splits_merge_in_rounds(spark, monkeypatch):
+    monkeypatch.setattr(frequent, "FAN_IN", 3)
+    r = random.Random(4)
+    rows = [(f"hot{r.randint(0, 20)}",) if r.random() < 0.5 else (f"k{r.randint(0, 5000)}",) for _ in range(20_000)]
+    df = spark.createDataFrame(rows, "key string").repartition(40)
+    want = sorted(Counter(k for k, in rows).items(), key=lambda x: (-x[1], x[0]))[:20]
+    got = frequent.most_frequent(df, 20, (64, 4, 256)).collect()
+    assert sorted(((x.key, x.n) for x in got), key=lambda x: (-x[1], x[0])) == want
