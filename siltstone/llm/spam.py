@@ -55,6 +55,12 @@ _TOKEN = re.compile(
     r"(?P<link>(?:https?://|www\.)[^\s)\"<>\]]+)|(?P<word>[^\W\d_]+(?:[-'’][^\W\d_]+)*)|(?P<tag><[^<>\n]*>|(?<!\w)[#@+][^\W\d_][\w-]*)|(?P<number>\d+(?:[.,]\d+)*%?)"
     r"|(?P<line>\n)|(?P<end>[.!?…]+(?=\s|$|[\"”»)]))|(?P<separator>[,;:|\t()\[\]*#/•·])"
 )
+_CUT = re.compile(r"\n|[.!?…]+(?=\s|$|[\"”»)])")
+_MARKED = re.compile(r"[<#@+]|://|www\.")
+_WORDS = re.compile(r"[^\W\d_]+(?:[-'’][^\W\d_]+)*")
+#: What may stand around a unit's first and last word or number.
+_OUTSIDE = " \t\r\n.!?…,;:|()[]*/•·\"'“”„«»‘’–—-_¿¡=&\u00a0"
+_COUNTED = re.compile(r"[,;:|\t\[\]*/•·\n]")
 #: Leads the words of an entry that is written like a short sentence.
 _FORMULA = "."
 _DIVIDERS = ",;|\t/•·<"
@@ -197,10 +203,54 @@ def _entries(u: _Unit, upto: int, end: int) -> list[tuple[list[str], int]]:
     return out
 
 
+def _plain_sentence(part: str) -> int | None:
+    """Length of a part without links that is a sentence from its first word to its end mark, or None if a closer look is needed."""
+    ws = _WORDS.findall(part)
+    n = len(ws)
+    if n < SENTENCE or ws[0][0].islower():
+        return None
+    if n - sum(map(str.islower, [w[0] for w in ws])) > CAPITALS * n or len(set(map(str.lower, ws))) < (DIFFERENT if n <= LONG else DIFFERENT_LONG) * n:
+        return None
+    return None if len(_COUNTED.findall(part)) > SEPARATORS * n else len(part.strip(_OUTSIDE))
+
+
+def _parts(text: str) -> Iterator[tuple[str, bool]]:
+    """Parts of a text without links and markup that make a unit each, and whether an end mark ends them."""
+    last, n = 0, len(text)
+    for m in _CUT.finditer(text):
+        if m.group() == "\n":
+            after = m.end()
+            while after < n and text[after] in " \t":
+                after += 1
+            if after < n and text[after].islower():
+                continue
+            yield text[last : m.start()], False
+        else:
+            yield text[last : m.end()], True
+        last = m.end()
+    yield text[last:], False
+
+
+def _looked_at(text: str) -> Iterator[_Unit | int]:
+    """Units of a text, or only the length where one is plainly a sentence."""
+    if _MARKED.search(text):
+        yield from _units(text)
+        return
+    for part, ended in _parts(text):
+        n = _plain_sentence(part) if ended else None
+        if n is None:
+            yield from _units(part)
+        else:
+            yield n
+
+
 def shapes(text: str) -> list[tuple[tuple, int, list[tuple[list[str], int]]]]:
     """(shape, characters, entries) of each unit of a text, in order. A shape's first part is its kind: sentence, link or list."""
     out = []
-    for u in _units(text):
+    for u in _looked_at(text):
+        if isinstance(u, int):
+            out.append((("sentence",), u, []))
+            continue
         at = _sentence_from(u)
         if at is not None:
             cut = u.start if at == 0 else u.at[at]
