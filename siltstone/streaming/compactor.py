@@ -30,7 +30,7 @@ FILE_BYTES, FILE_ROWS = 256 << 20, 50_000_000
 #: Runs of a store that make a block in the lists of what files hold.
 BLOCK_RUNS = 256
 #: Rows whose width is looked at to size the files of a first batch; nothing else depends on them.
-WIDTH_ROWS = 10_000
+WIDTH_ROWS = 500
 
 
 def _one_each(df: DataFrame) -> DataFrame:
