@@ -16,6 +16,18 @@ def entries(log: DataFrame) -> DataFrame:
     return ttl.groupBy("key").agg(F.max(F.struct("seq", "value", "expiry_ms")).alias("last")).select("key", "last.value", "last.expiry_ms")
 
 
+def from_store(table: DataFrame) -> DataFrame:
+    """Stored entries (store_id, key, value, TTL, expiryTime) as one entry per key of a store: store_id, key, value, expiry_ms.
+
+    An entry expires only if its flag is set and its time is neither null nor 0; else expiry_ms is null. The table has no order, so of several entries of a
+    key the one that lives longest counts, and among equals the greater value, null least. Rows without store or key are no entries; repeated rows change nothing.
+    """
+    expiry = F.when(F.col("TTL") & (F.col("expiryTime") != 0), F.col("expiryTime"))
+    best = F.max(F.struct(expiry.isNull().alias("never"), expiry.alias("expiry_ms"), F.col("value").isNotNull().alias("known"), "value"))
+    kept = table.na.drop(subset=["store_id", "key"]).groupBy("store_id", "key").agg(best.alias("w"))
+    return kept.select("store_id", "key", "w.value", "w.expiry_ms")
+
+
 def live_at(ttl: DataFrame, now_ms: int) -> DataFrame:
     """Entries a read at ``now_ms`` sees: expired only if now > expiry. A null expiry never expires."""
     return ttl.where(F.coalesce(F.lit(now_ms) <= F.col("expiry_ms"), F.lit(True)))

@@ -67,12 +67,17 @@ def p4_index(spark: SparkSession, d: str) -> DataFrame:
     return remap_index(table(spark, d, "index_entry"), _compacted(spark, d).locations())
 
 
+def p4_index_keys(spark: SparkSession, d: str) -> DataFrame:
+    """Which records the index over the consolidated files leads to, and to how many places each."""
+    return p4_index(spark, d).groupBy("store_id", "run_id", "key").agg(F.count("*").alias("n_places"))
+
+
 def p4_files(spark: SparkSession, d: str) -> DataFrame:
     """What became of each catalogued file."""
     return catalogue(table(spark, d, "run_file"), table(spark, d, "sst_write"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_state, p3_found, p3_per_key, p4_found, p4_index, p4_files)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_state, p3_found, p3_per_key, p4_found, p4_index, p4_index_keys, p4_files)}
 
 ORACLE: dict[str, str] = {
     "p1_found": """WITH c AS (
@@ -96,5 +101,7 @@ ORACLE: dict[str, str] = {
     "p4_files": """WITH r AS (SELECT file_id, count(DISTINCT (store_id, run_id, key)) AS n FROM sst_write WHERE key IS NOT NULL AND store_id IS NOT NULL AND run_id IS NOT NULL GROUP BY 1)
       SELECT f.file_id, f.store_id, f.run_id, coalesce(r.n, 0) AS n_found, CASE WHEN r.n > 0 THEN 'absorbed' WHEN archived_at IS NOT NULL THEN 'archived' ELSE 'empty' END AS fate
       FROM run_file f LEFT JOIN r USING (file_id)""",
+    "p4_index_keys": """SELECT store_id, run_id, key, 1::BIGINT AS n_places FROM (SELECT DISTINCT store_id, run_id, key FROM index_entry WHERE key IS NOT NULL AND store_id IS NOT NULL AND run_id IS NOT NULL)
+      SEMI JOIN sst_write USING (store_id, run_id, key)""",
     "p4_found": "SELECT DISTINCT store_id, run_id, key FROM sst_write WHERE key IS NOT NULL AND store_id IS NOT NULL AND run_id IS NOT NULL",
 }

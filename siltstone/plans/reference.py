@@ -17,6 +17,7 @@ from siltstone.sources.tables import olog, oplog, requests, table
 from siltstone.streaming.oplog import LOG, ExpiringState, LatestState, log_stream
 
 NOW_MS = 1705276800000
+STORED_NOW_MS = 1768700000000
 RUN_OPS = 1000
 DELETE_RUN_OPS = 50
 CACHE_KEYS = 50
@@ -77,6 +78,17 @@ def ttl_sweep(s, d):
     return ttl.sweep_counts(_ttl(s, d), NOW_MS)
 
 
+@query
+def ttl_stored_live(s, d):
+    """Entries of the stored table that a read sees."""
+    return ttl.live_at(ttl.from_store(table(s, d, "ttl_entry")), STORED_NOW_MS)
+
+
+@query
+def ttl_stored_sweep(s, d):
+    return ttl.sweep_counts(ttl.from_store(table(s, d, "ttl_entry")), STORED_NOW_MS)
+
+
 @query
 def ttl_sample(s, d):
     return ttl.sample(_ttl(s, d)).select("key", "expiry_ms")

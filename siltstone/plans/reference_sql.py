@@ -127,3 +127,8 @@ ORACLE["wal_crc"] = f"""WITH {_O}, t AS (SELECT list(list_reduce(list_prepend(i,
   d AS (SELECT seq, ts_ms - lag(ts_ms,1,0) OVER (ORDER BY seq) AS delta, key, coalesce(value, '') AS value FROM o),
   p AS (SELECT seq, list_concat(list_transform(range(0, 8), lambda i: (delta >> (56-8*i)) & 255), list_concat({_TEXT.format('key')}, {_TEXT.format('value')})) AS bytes FROM d)
   SELECT seq, xor(list_reduce(list_prepend(4294967295, bytes), lambda c, b: xor(c>>8, tab[(xor(c,b)&255)+1])), 4294967295) AS checksum FROM p, t"""
+
+_STORED = """e AS (SELECT store_id, key, value, CASE WHEN TTL AND expiryTime<>0 THEN expiryTime END AS expiry_ms FROM ttl_entry WHERE store_id IS NOT NULL AND key IS NOT NULL),
+  t AS (SELECT store_id, key, value, expiry_ms FROM (SELECT *, row_number() OVER (PARTITION BY store_id, key ORDER BY expiry_ms DESC NULLS FIRST, value DESC NULLS LAST) AS rn FROM e) WHERE rn=1)"""
+ORACLE["ttl_stored_live"] = f"WITH {_STORED} SELECT * FROM t WHERE expiry_ms IS NULL OR expiry_ms >= 1768700000000"
+ORACLE["ttl_stored_sweep"] = f"WITH {_STORED} SELECT coalesce(expiry_ms <= 1768700000000, false) AS expired, count(*) AS n FROM t GROUP BY 1"

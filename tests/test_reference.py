@@ -91,6 +91,15 @@ def test_ttl_boundary_and_trigger(spark):
     assert ttl.triggers(ttl.sample(four.limit(0)), 100).first().sampled == 0
 
 
+def test_stored_entries(spark, collected):
+    rows = [(1, "a", "x", True, 10), (1, "a", "y", True, 30), (1, "a", "y", True, 30), (1, "b", "z", None, 5), (1, "b", "w", True, 9), (2, "a", None, True, 0), (2, "c", None, True, 7), (2, "c", "", True, 7), (None, "a", "v", True, 1), (1, None, "v", True, 1)]
+    df = spark.createDataFrame(rows, "store_id int, key string, value string, TTL boolean, expiryTime long")
+    got = ttl.from_store(df)
+    assert collected(got) == [(1, "a", "y", 30), (1, "b", "z", None), (2, "a", None, None), (2, "c", "", 7)]
+    assert collected(ttl.live_at(got, 20).select("store_id", "key")) == [(1, "a"), (1, "b"), (2, "a")]
+    assert ttl.from_store(df.limit(0)).count() == 0
+
+
 def test_units(spark):
     df = spark.createDataFrame([(2, "HOURS"), (1, "DAYS"), (1, "X"), (None, "DAYS")], "n long, u string")
     assert [r[0] for r in df.select(to_millis(F.col("n"), F.col("u"))).collect()] == [7200000, 86400000, None, None]
