@@ -73,9 +73,9 @@ class Compactor:
             return sum(p["bytes"] for p in held) / rows
         return (df.limit(WIDTH_ROWS).agg(F.avg(F.octet_length(F.to_json(F.struct(*df.columns))))).first()[0] or 0) / 2
 
-    def _save(self, df: DataFrame, rows: int, folder: str) -> dict | None:
-        """Write a folder; what was written, or None if it was nothing. ``rows`` is an upper bound."""
-        size = rows * self._width(df)
+    def _save(self, df: DataFrame, rows: int, width: float, folder: str) -> dict | None:
+        """Write a folder; what was written, or None if it was nothing. ``rows`` is an upper bound, ``width`` a row's bytes."""
+        size = rows * width
         # an exchange even for one file, so that the step before it keeps its tasks
         n = max(1, -(-rows // self.file_rows), int(-(-size // self.file_bytes)))
         path = f"{self.target}/data/{folder}"
@@ -116,7 +116,7 @@ class Compactor:
         if files:
             held = self.spark.read.schema(self.schema).parquet(*(f"{self.target}/data/{f}" for f in files)).select(*RECORD)
             fresh = fresh.join(held, list(RECORD), "left_anti")
-        written = self._save(fresh, rows, f"batch={batch:010d}/attempt={uuid.uuid4().hex[:12]}")
+        written = self._save(fresh, rows, self._width(df), f"batch={batch:010d}/attempt={uuid.uuid4().hex[:12]}")
         if written or me in parts:
             self._publish({**{b: p for b, p in parts.items() if b != me}, **({me: written} if written else {})})
 
@@ -129,7 +129,8 @@ class Compactor:
         order = sorted(map(int, small))
         rows = sum({p["folder"]: p["rows"] for p in small.values()}.values())
         folder = f"merged={order[0]:010d}-{order[-1]:010d}-{len(order)}/attempt={uuid.uuid4().hex[:12]}"
-        written = self._save(self._read(small), rows, folder)
+        held = self._read(small)
+        written = self._save(held, rows, self._width(held), folder)
         self._publish({**parts, **dict.fromkeys(small, written)})
 
     def vacuum(self) -> None:
