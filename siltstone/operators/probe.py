@@ -43,7 +43,7 @@ def probe_filters(probes: DataFrame, run_filters: DataFrame, bits: int = FILTER_
     ``probes`` may hold ``bits`` of their keys already.
     """
     keep = ["run_id", "key", *["bits"] * ("bits" in probes.columns)]
-    asked = _hashed(probes.select(*keep).dropDuplicates(["run_id", "key"]), bits)
+    asked = _hashed(probes.select(*keep).distinct(), bits)  # a key's bits follow from it
 
     def is_set(i: int):
         bit = F.col("bits")[i]
